@@ -62,6 +62,23 @@ def text_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def longs(values: list[int]) -> Column:
+    """A constant array of longs, given as text: quick to send and folded once."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.expr("cast(array() as array<bigint>)")
+
+
+def range_of(n: int, reached) -> Column:
+    """How many of n sorted cuts a row has reached, by halving an interval.
+    reached(i): whether the row is at or beyond the i-th cut."""
+    if not n:
+        return F.lit(0)
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(
+        F.when(reached(middle(s)), F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi")))
+    )
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length() + 1)), F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), step, lambda s: s["lo"])
+
+
 def with_range(df: DataFrame, key: str, ranges: int, name: str = "range_id") -> tuple[DataFrame, int]:
     """Add an int column that splits the rows into ordered ranges of the long
     column `key`, by quantiles of it. At most 4096 splitters reach the driver;
@@ -69,21 +86,5 @@ def with_range(df: DataFrame, key: str, ranges: int, name: str = "range_id") ->
     ranges = max(1, min(ranges, 4096))
     cuts = [] if ranges == 1 else df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.2 / ranges)
     cuts = sorted({int(x) for x in cuts if x is not None})
-    if not cuts:
-        return df.withColumn(name, F.lit(0)), 1
-    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
-
-    spark = df.sparkSession
-    # the splitters as one row: a broadcast of at most 4096 longs
-    one = spark.createDataFrame([(cuts,)], StructType([StructField("_cuts", ArrayType(LongType()))]))
-    return df.crossJoin(F.broadcast(one)).withColumn(name, range_of(F.col(key), F.col("_cuts"))).drop("_cuts"), len(cuts) + 1
-
-
-def range_of(key: Column, cuts: Column) -> Column:
-    """How many of the sorted cuts are <= key, by 13 halvings of an interval."""
-    n = F.size(cuts)
-    step = lambda s, i: F.when(s["lo"] >= s["hi"], s).otherwise(
-        F.when(F.get(cuts, F.floor((s["lo"] + s["hi"]) / 2).cast("int")) <= key, F.struct((F.floor((s["lo"] + s["hi"]) / 2) + 1).cast("int").alias("lo"), s["hi"].alias("hi")))
-        .otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi")))
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.lit(13)), F.struct(F.lit(0).alias("lo"), n.alias("hi")), step, lambda s: s["lo"])
+    array = longs(cuts)
+    return df.withColumn(name, range_of(len(cuts), lambda i: F.get(array, i) <= F.col(key))), len(cuts) + 1

@@ -126,7 +126,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH,
     pieces = written(token_pieces(docs, tokenizer, end_id, length, with_ids), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `length` rows
     places = spark.sparkContext.broadcast(places_of(patterns_of(histogram, length)))
-    buckets = buckets or max(1, min(4096, sum(histogram.values()) // 100_000))
+    buckets = buckets or max(64, min(4096, sum(histogram.values()) // 100_000))
     x = ranked(pieces, buckets)
     columns = [c for c in pieces.columns if c != "length"]
 

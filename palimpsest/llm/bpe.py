@@ -30,7 +30,7 @@ _codecs: dict[str, "PrefixCodec"] = {}
 class PrefixCodec(Encoder):
     """Keeps the ids of cuts as Encoder does; new ones come from encode_piece()."""
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         import ahocorasick
         import regex
 
@@ -173,8 +173,16 @@ def codec(path: str) -> PrefixCodec:
     return _codecs[path]
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id and ids (binary: little-endian unsigned 32-bit) of every document.
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a worker holds few texts and ids at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def encode(docs: DataFrame, tokenizer: str, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (binary: little-endian unsigned 32-bit) of every document; if
+    asked for, text as decoded from those ids in the same pass.
 
     A null text is empty and has no ids; special tokens' strings in a text become
     those tokens; equal rows are encoded one by one, and a null doc_id stays null.
@@ -183,11 +191,15 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = codec(tokenizer)
-        for batch in batches:
+        for batch in parts(batches):
             ids = list(x.encode(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            columns = [batch.column("doc_id"), pa.array(ids, pa.binary())]
+            if decoded:
+                columns.append(pa.array(map(x.decode, ids), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][: len(columns)])
 
-    return text_of(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).mapInArrow(run, "doc_id long, ids binary")
+    schema = "doc_id long, ids binary" + ", text string" * decoded
+    return text_of(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -196,7 +208,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = codec(tokenizer)
-        for batch in batches:
+        for batch in parts(batches):
             texts = [None if raw is None else x.decode(raw) for raw in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 

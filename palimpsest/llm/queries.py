@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, exact, packing, sharding, tokenfiles, topk
+from palimpsest.llm import bpe, exact, packing, sharding, tokenfiles, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    x = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), tokenizer), tokenizer)
+    x = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), decoded=True)
     return x.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -31,6 +30,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, 0.3).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "spans")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
@@ -77,7 +82,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_bpe, op6_sharding, op7_top_k, op8_token_files, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_bpe, op5_toxicity, op6_sharding, op7_top_k, op8_token_files, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

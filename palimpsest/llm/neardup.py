@@ -1,11 +1,14 @@
 """Near-duplicate classes: improved consistent weighted sampling (Ioffe 2010) over
 TF-IDF shingles, banded, every link verified by weighted Jaccard similarity.
 
-A shingle is five words of the text in lower case. Its weight is its count in the
-text times 1 + ln((N + 1) / (d + 1)) / ln(N + 1), where d is the number of
-documents in its bucket of a hashed table of document frequencies over all rows;
-the table's size is fixed, and the share of N that a bucket gathers by chance does
-not depend on N. Equal texts are one node from the start.
+A shingle is five words of the text in lower case. d is the number of documents in
+its bucket of a hashed table of document frequencies over all rows; the table's
+size is fixed, and the share of N that a bucket gathers by chance does not depend
+on N. Candidates are sampled by the shingle's count times ln((N + 1) / (d + 1)), so
+that a passage which very many texts share hardly brings them together. Links are
+verified with the milder 1 + ln((N + 1) / (d + 1)) / ln(N + 2), by which a large
+group's own shingles keep their say against its edits. Equal texts are one node
+from the start.
 
 Pairs of a bucket are never listed. Its first and last members are compared with
 all others; members that match neither form the bucket of the next round. After
@@ -85,6 +88,11 @@ def frequencies(table: np.ndarray, n: int) -> np.ndarray:
     return (1 + np.log((n + 1) / (np.minimum(table, n) + 1)) / np.log(n + 2)).astype(np.float32)
 
 
+def rarity(table: np.ndarray, n: int) -> np.ndarray:
+    """ln((n + 1) / (d + 1)), above 0: the weights that samples are drawn by."""
+    return np.maximum(np.log((n + 1) / (np.minimum(table, n) + 1)), 0.05).astype(np.float32)
+
+
 class Sampler:
     """Consistent weighted samples of a document's weighted shingles."""
 
@@ -238,7 +246,7 @@ def links(members: DataFrame, shingled: DataFrame, idf, threshold: float = THRES
         left = active.filter("row_id <> first and row_id <> last").select("bucket", "row_id").join(done, ["bucket", "row_id"], "left_anti")
         if number % rounds == 0:  # split by another band that members share
             again = written(left, "left")
-            other = again.join(everyone.withColumnRenamed("bucket", "second"), "row_id").filter("second <> bucket")
+            other = again.join(everyone.withColumnRenamed("bucket", "second"), "row_id").filter("second > bucket")
             left = other.select(F.xxhash64("bucket", "second").alias("bucket"), "row_id").distinct()
         active = written(crowded(left), "bucket-members")
     empty = lambda schema: spark.createDataFrame([], schema)
@@ -282,9 +290,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = W
     spark = docs.sparkSession
     on_workers(spark)
     rows, table, n = features(docs, size)
-    idf = spark.sparkContext.broadcast(frequencies(table, n))  # 4 MB
+    idf, drawn = (spark.sparkContext.broadcast(f(table, n)) for f in (frequencies, rarity))  # 4 MB each
     first = rows.groupBy("digest").agg(F.min("row_id").alias("node"))
-    keys = written(banded(rows, idf, bands, per_band), "bands")
+    keys = written(banded(rows, drawn, bands, per_band), "bands")
     nodes = written(rows.select("row_id", "doc_id", "digest").join(first, "digest").select("row_id", "doc_id", "node"), "nodes")
     single = keys.join(first, keys["row_id"] == first["node"], "left_semi")
     members = single.select(F.explode("buckets").alias("bucket"), "row_id")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, exact, neardup, packing, sharding, tokenfiles, topk, toxicity
+from palimpsest.llm import bpe, exact, neardup, packing, sharding, suffix, tokenfiles, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = suffix.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return x.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -86,7 +91,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_bpe, op3_near_dedup, op5_toxicity, op6_sharding, op7_top_k, op8_token_files, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_bpe, op3_near_dedup, op5_toxicity, op6_sharding, op7_top_k, op8_token_files, op9_suffix_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -85,6 +85,26 @@ class Field:
         return out[::-1]
 
 
+    def tagged(self, weights: "Weights", text: str) -> tuple[list[int], list[float]]:
+        """Positions of the words that have a learnt feature, and their marginals."""
+        w = list(map(weights.__getitem__, text.lower().split()))
+        if not any(w):
+            return [], []
+        at = [i for i, x in enumerate(w) if x]
+        return at, self.marginals(len(w), at, [w[i] for i in at])
+
+    def total(self, marginals: list[float]) -> float:
+        """A document's score: that a word with a learnt feature, or one neutral
+        word, is toxic."""
+        clean = 1.0 - self.neutral
+        for p in marginals:
+            clean *= 1.0 - p
+        return min(1.0, max(0.0, 1.0 - clean))
+
+    def score(self, weights: "Weights", text: str) -> float:
+        return self.total(self.tagged(weights, text)[1])
+
+
 class Weights(dict):
     """Caches Field.weight for words; emptied when full."""
 
@@ -234,24 +254,31 @@ def score(docs: DataFrame, model: Field, threshold: float = THRESHOLD) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = told.value
         cache = Weights(field)
-        base, kind = field.neutral, pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32(), "p": pa.float64()}))
+        kind = pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32(), "p": pa.float64()}))
         for batch in batches:
             points, spans = [], []
             for text in batch.column("text").to_pylist():
-                weights = list(map(cache.__getitem__, text.lower().split()))
-                if not any(weights):
-                    points.append(base)
-                    spans.append([])
-                    continue
-                at = [i for i, w in enumerate(weights) if w]
-                p = field.marginals(len(weights), at, [weights[i] for i in at])
-                clean = 1.0 - base
-                for x in p:
-                    clean *= 1.0 - x
-                points.append(min(1.0, max(0.0, 1.0 - clean)))
+                at, p = field.tagged(cache, text)
+                points.append(field.total(p))
                 bad = {i: x for i, x in zip(at, p) if x >= 0.5}
                 spans.append([{"start": m.start(), "end": m.end(), "p": bad[i]} for i, m in enumerate(WORD.finditer(text)) if i in bad] if bad else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(points, pa.float64()), pa.array([int(x >= threshold) for x in points], pa.int32()), pa.array(spans, kind)], ["doc_id", "score", "predicted", "spans"])
 
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return x.mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
+
+
+def keep(docs: DataFrame, model: Field, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below threshold;
+    scored in the pass that reads them."""
+    names = docs.columns
+    on_workers(docs.sparkSession)
+    told = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Weights(told.value)
+        for batch in batches:
+            points = [told.value.score(cache, x or "") for x in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([p < threshold for p in points], pa.bool_()))
+
+    return docs.select(*names).mapInArrow(run, docs.schema)

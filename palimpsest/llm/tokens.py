@@ -48,7 +48,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.most, self.tokenizer, self.unknown = most, Tokenizer.from_file(path), set()
+        self.most, self.tokenizer, self.unknown, self.words = most, Tokenizer.from_file(path), set(), {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -116,22 +116,29 @@ class Encoder(dict):
 
     def _learn_words(self, plain: dict[str, tuple[str, str, str]]) -> None:
         """A word of letters is one piece of this pre-tokenizer, which drops white
-        space and case: many words go in one text, and part at their ends."""
-        words = dict.fromkeys(w for _, w, _ in plain.values())
-        order = list(words)
-        for at in range(0, len(order), 500):
-            some = order[at : at + 500]
+        space and case, and so is a run of marks: many go in one text, and part at
+        their ends."""
+        words = self.words
+        if len(words) > self.most // 2:
+            words.clear()
+        order = list(dict.fromkeys(x for _, w, mark in plain.values() for x in (w, mark) if x and x not in words))
+        todo = [order[at : at + 500] for at in range(0, len(order), 500)]
+        while todo:
+            some = todo.pop()
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(stops) != len(some):
-                words |= {w: self._encode(w) for w in some}
+            if len(stops) != len(some):  # one of them parts or joins: look for it in the halves
+                if len(some) == 1:
+                    words[some[0]] = ids.tobytes()
+                else:
+                    todo += some[: len(some) // 2], some[len(some) // 2 :]
                 continue
             raw, last = ids.tobytes(), 0
             for w, stop in zip(some, stops):
                 words[w], last = raw[last:stop], stop
-        marks = {mark: self._encode(mark) if mark else b"" for _, _, mark in plain.values()}
+        words[""] = b""
         for k, (_, w, mark) in plain.items():
-            self[k] = words[w] + marks[mark]
+            self[k] = words[w] + words[mark]
 
     def encode(self, texts: list[str], batch: int = 256) -> Iterable[bytes]:
         """Each text is looked up while its keys are in the CPU's cache; those

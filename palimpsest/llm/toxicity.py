@@ -134,20 +134,26 @@ def families(texts: list[str]) -> list[int]:
     return out
 
 
-def cues(toxic: list[set[str]], clean: list[set[str]], most: int = FEATURES) -> list[str]:
-    """Greedy cover: the feature that explains most toxic documents which none
-    explains yet, less those clean ones that hold it; near copies of one toxic text
-    are explained together and add no features of their own."""
-    in_clean = Counter(f for doc in clean for f in doc)
+def cues(toxic: list[list[str]], clean: list[list[str]], known, most: int = FEATURES) -> list[str]:
+    """Greedy cover over documents' words: the feature that explains most toxic
+    documents which none explains yet, less those clean ones that hold it; then those
+    that are as telling by themselves. known(word): the word's features."""
+    of = lambda doc: {f for w in set(doc) for f in known(w)}
+    in_toxic, in_clean = Counter(), Counter()
+    for doc in toxic:
+        in_toxic.update(of(doc))
+    least = max(2, len(toxic) // 400)
+    often = {f for f, n in in_toxic.items() if n >= least}
+    for doc in clean:
+        in_clean.update(of(doc) & often)
+    scale = len(toxic) / max(1, len(clean))
+    price = lambda f: 5 * scale * in_clean[f]
+    often = {f for f in often if in_toxic[f] - price(f) >= least and in_toxic[f] >= 10 * scale * in_clean[f]}
     where: dict[str, set[int]] = defaultdict(set)
     for i, doc in enumerate(toxic):
-        for f in doc:
+        for f in of(doc) & often:
             where[f].add(i)
-    scale = len(toxic) / max(1, len(clean))
-    least = max(2, len(toxic) // 400)
-    price = lambda f: 5 * scale * in_clean[f]
-    left = {f: docs for f, docs in where.items() if len(docs) - price(f) >= least and len(docs) >= 10 * scale * in_clean[f]}
-    open_, found = set(range(len(toxic))), []
+    left, open_, found = dict(where), set(range(len(toxic))), []
     while left and len(found) < most:
         gain, f = max((len(docs & open_) - price(f), f) for f, docs in left.items())
         if gain < least:
@@ -155,23 +161,30 @@ def cues(toxic: list[set[str]], clean: list[set[str]], most: int = FEATURES) ->
         found.append(f)
         open_ -= left.pop(f)
         left = {g: docs for g, docs in left.items() if len(docs & open_) - price(g) >= least}
-    # and what is as telling by itself, though its documents are explained already
-    telling = [f for f, docs in where.items() if f not in found and len(docs) >= 5 * least and in_clean[f] * scale * 50 <= len(docs)]
+    chosen = set(found)
+    telling = [f for f, docs in where.items() if f not in chosen and len(docs) >= 5 * least and in_clean[f] * scale * 50 <= len(docs)]
     return found + sorted(telling, key=lambda f: (-len(where[f]), f))[: most - len(found)]
 
 
 def fit(toxic: list[str], clean: list[str], rounds: int = 150) -> Field:
     """Fit the field on labelled texts; without toxic ones, all words are neutral."""
-    split = lambda texts: [[features(w) for w in x.lower().split()] for x in texts]
+    shared: dict[str, str] = {}
+    split = lambda texts: [[shared.setdefault(w, w) for w in x.lower().split()] for x in texts]
     toxic_words, clean_words = split([toxic[i] for i in families(toxic)]), split(clean)
-    sets = [[{f for w in doc for f in w} for doc in side] for side in (toxic_words, clean_words)]
-    names = {f: i for i, f in enumerate(cues(*sets))}
+    names = {f: i for i, f in enumerate(cues(toxic_words, clean_words, features))}
     if not names:
         return Field()
+    cache: dict[str, list[int]] = {}
+
+    def of_word(word: str) -> list[int]:
+        if (x := cache.get(word)) is None:
+            x = cache[word] = [names[f] for f in features(word) if f in names]
+        return x
+
     windows: list[tuple[list[list[int]], list[int]]] = []
     for label, side in ((1, toxic_words), (0, clean_words)):
         for number, doc in enumerate(side):
-            known = [[names[f] for f in w if f in names] for w in doc]
+            known = [of_word(w) for w in doc]
             hits = [i for i, k in enumerate(known) if k]
             at = 0
             for i in hits + ([] if number % 4 else [len(doc) // 2]):

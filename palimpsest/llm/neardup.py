@@ -10,12 +10,10 @@ verified with the milder 1 + ln((N + 1) / (d + 1)) / ln(N + 2), by which a large
 group's own shingles keep their say against its edits. Equal texts are one node
 from the start.
 
-Pairs of a bucket are never listed. Its first and last members are compared with
-all others; members that match neither form the bucket of the next round. After
-some rounds, what is left of large buckets is split by a second shared band. At
-the end, members that came near a leader without a match are compared with those
-that match it, as far as the triangle inequality of the distance leaves a chance
-and they are not in one class already.
+Pairs of a bucket are never listed. In rounds, a few drawn members are compared with
+those that are in other components than theirs, and components are joined before the
+next round, in which twice as many are drawn. So a large group of copies collapses
+after few comparisons, and only members that match nothing meet all of a bucket.
 """
 
 from __future__ import annotations
@@ -31,14 +29,12 @@ from palimpsest.llm.common import on_workers, written
 from palimpsest.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
-#: Bands and samples in each: a pair at 0.8 shares none with probability 0.0002.
-BANDS, ROWS = 12, 3
+#: Bands and samples in each: a pair at 0.8 shares none with probability 0.0004, one at 0.3 some with 0.05.
+BANDS, ROWS = 20, 5
 #: Buckets of the table of document frequencies (4 MB, whatever the input).
 TABLE, SLICE = 1 << 20, 1 << 16
 #: Rows of random variates that shingles share by hash.
-VARIATES = 1 << 16
-#: Rounds on a bucket before it is split by a second band.
-ROUNDS = 3
+VARIATES = 1 << 14
 
 
 class Words(dict):
@@ -112,7 +108,7 @@ class Sampler:
         at = np.arange(self.bands * self.rows)
         log_w = np.log(self.weights(hashes, counts)).astype(np.float32)
         for a in range(0, len(hashes), 2048):
-            row = (hashes[a : a + 2048] >> np.uint32(16)).astype(np.int64)
+            row = (hashes[a : a + 2048] >> np.uint32(18)).astype(np.int64)
             r, beta = self.r[row], self.beta[row]
             t = np.floor(log_w[a : a + 2048, None] / r + beta)
             cost = self.log_c[row] - r * (t - beta + 1)
@@ -223,57 +219,58 @@ def verified(pairs: DataFrame, shingled: DataFrame, idf) -> DataFrame:
 
 
 def crowded(members: DataFrame) -> DataFrame:
-    """Members (bucket, row_id) of buckets with at least two, with the first and last."""
-    groups = members.groupBy("bucket").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last")).filter("first < last")
+    """Members (bucket, row_id) of buckets with at least two."""
+    groups = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     return members.join(groups, "bucket")
 
 
-def links(members: DataFrame, shingled: DataFrame, idf, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b, sim), and the near misses (bucket, row_id, leader, sim)."""
+def linked(members: DataFrame, shingled: DataFrame, idf, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, sim) that join the members (bucket, row_id, n) of each
+    bucket as all its links would, and the components (node, root) that they make.
+
+    In round r about 2 ** (r + 1) members of a bucket, drawn by hash and not drawn
+    before, are compared with those of other components than theirs; components are
+    joined before the next round. A bucket ends when it is one component or all its
+    members were drawn: every pair of it was compared or joined by other links.
+    """
     spark = members.sparkSession
-    everyone = members
-    active, found, near, number = written(crowded(members), "bucket-members"), [], [], 0
-    slack = 2 * threshold - 1
-    while not active.isEmpty():
-        number += 1
-        asked = active.select("bucket", "row_id", F.explode(F.array_distinct(F.array("first", "last"))).alias("leader")).filter("row_id <> leader")
-        asked = asked.select("bucket", "row_id", "leader", F.least("leader", "row_id").alias("a"), F.greatest("leader", "row_id").alias("b"))
-        sims = written(verified(asked.select("a", "b").distinct(), shingled, idf), "similarities")
-        told = written(asked.join(sims, ["a", "b"]), "compared")
-        found.append(sims.filter(F.col("sim") >= threshold))
-        near.append(told.filter((F.col("sim") < threshold) & (F.col("sim") >= slack)).select("bucket", "row_id", "leader", "sim"))
-        done = told.filter(F.col("sim") >= threshold).select("bucket", "row_id").distinct()
-        left = active.filter("row_id <> first and row_id <> last").select("bucket", "row_id").join(done, ["bucket", "row_id"], "left_anti")
-        if number % rounds == 0:  # split by another band that members share
-            again = written(left, "left")
-            other = again.join(everyone.withColumnRenamed("bucket", "second"), "row_id").filter("second > bucket")
-            left = other.select(F.xxhash64("bucket", "second").alias("bucket"), "row_id").distinct()
-        active = written(crowded(left), "bucket-members")
-    empty = lambda schema: spark.createDataFrame([], schema)
-    union = lambda frames, schema: _union(frames) if frames else empty(schema)
-    return union(found, "a long, b long, sim double"), union(near, "bucket long, row_id long, leader long, sim double")
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for x in frames[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-def rescued(found: DataFrame, near: DataFrame, roots: DataFrame, shingled: DataFrame, idf, threshold: float) -> DataFrame:
-    """Links of near misses to those that match the leader they missed, where the
-    two are in different classes and the distances leave it possible."""
-    root = lambda key: roots.select(F.col("node").alias(key), F.col("root").alias(f"{key}_root"))
-    with_root = lambda x, key: x.join(root(key), key, "left").withColumn(f"{key}_root", F.coalesce(f"{key}_root", key))
-    missed = with_root(with_root(near.select("row_id", "leader", "sim").groupBy("row_id", "leader").agg(F.max("sim").alias("sim")), "row_id"), "leader").filter("row_id_root <> leader_root")
-    missed = written(missed, "missed")
-    if missed.isEmpty():
-        return found.limit(0)
-    both = found.select(F.col("a").alias("leader"), F.col("b").alias("member"), "sim").unionByName(found.select(F.col("b").alias("leader"), F.col("a").alias("member"), "sim")).distinct()
-    far = both.withColumnRenamed("sim", "member_sim").join(missed, "leader").filter((1 - F.col("member_sim")) >= (1 - F.col("sim")) - (1 - threshold))
-    pairs = far.select(F.least("row_id", "member").alias("a"), F.greatest("row_id", "member").alias("b")).filter("a <> b").distinct()
-    return verified(pairs, shingled, idf).filter(F.col("sim") >= threshold)
+    place = F.pmod(F.xxhash64("row_id", "bucket"), F.lit(1 << 30)) / float(1 << 30)
+    rows = written(members.select("bucket", "row_id", "n", place.alias("place")), "bucket-members")
+    roots = spark.createDataFrame([], "node long, root long")
+    seen = spark.createDataFrame([], "a long, b long, sim double")
+    low, drawn = 0.0, 0
+    while True:
+        drawn = 2 * drawn + 2
+        rooted = rows.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
+        several = rooted.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("bucket")
+        rows_now = written(rooted.join(several, "bucket"), "active")
+        largest = rows_now.agg(F.max("n")).first()[0]
+        if not largest:
+            break
+        pivots = rows_now.filter((F.col("place") * F.col("n") >= low) & (F.col("place") * F.col("n") < drawn)).select("bucket", F.col("row_id").alias("pivot"), F.col("root").alias("pivot_root"))
+        pairs = rows_now.join(pivots, "bucket").filter("root <> pivot_root").select(F.least("row_id", "pivot").alias("a"), F.greatest("row_id", "pivot").alias("b")).distinct()
+        sims = written(verified(pairs.join(seen, ["a", "b"], "left_anti"), shingled, idf), "similarities")
+        seen = seen.unionByName(sims)
+        new = sims.filter(F.col("sim") >= threshold)
+        if not new.isEmpty():
+            roots = joined(roots, new)
+        rows = rows_now.select("bucket", "row_id", "n", "place")
+        low = float(drawn)
+        if low >= largest:
+            break
+    return seen.filter(F.col("sim") >= threshold), roots
+
+
+def joined(roots: DataFrame, new: DataFrame) -> DataFrame:
+    """Components after more links: links between the roots so far are contracted."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    x = new.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = x.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).filter("a <> b").distinct()
+    moved = components(between).select(F.col("node").alias("root"), F.col("root").alias("_new"))
+    kept = roots.join(moved, "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
+    known = roots.select("node")
+    fresh = moved.select(F.col("root").alias("node"), F.col("_new").alias("root")).join(known, "node", "left_anti")
+    return written(kept.unionByName(fresh), "roots")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
@@ -296,16 +293,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = W
     nodes = written(rows.select("row_id", "doc_id", "digest").join(first, "digest").select("row_id", "doc_id", "node"), "nodes")
     single = keys.join(first, keys["row_id"] == first["node"], "left_semi")
     members = single.select(F.explode("buckets").alias("bucket"), "row_id")
-    several = written(crowded(members).select("bucket", "row_id"), "crowded")
+    several = written(crowded(members), "crowded")
     asked = several.select("row_id").distinct()
     shingled = written(rows.select("row_id", "shingles").join(asked, "row_id", "left_semi"), "candidates")
-    found, near = links(several, shingled, idf, threshold)
-    found = written(found.distinct(), "links")
-    roots = components(found.select("a", "b"))
-    more = written(rescued(found, near, roots, shingled, idf, threshold), "rescued")
-    if not more.isEmpty():
-        found = written(found.unionByName(more).distinct(), "links")
-        roots = components(found.select("a", "b"))
+    found, roots = linked(several, shingled, idf, threshold)
     counts = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = nodes.join(roots, "node", "left").join(counts, "node", "left")
     placed = written(placed.select("row_id", "doc_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "placed")

@@ -1,21 +1,25 @@
 """Removal of repeated passages by a logarithmic family of suffix arrays.
 
-Documents are packed into blocks. A block's suffixes are sampled where a k-gram has
-the least hash among those of a window of `length` bytes, so that equal windows
-sample the same place; sorted by a fingerprint of their leading bytes they are the
-block's (sparse) suffix array. The key space is dealt to partitions. In each, the
-blocks' arrays come in turn: a new one becomes a level of its own, and levels of
-equal size merge geometrically in one scan, in which equal neighbours are matches.
-
-The first pass finds places whose k-gram occurs again. The windows around such a
-place are one unit where all its occurrences have equal surroundings; else each
-window is a unit. The second pass finds the first occurrence of every unit by
-(doc_id, start); bytes of all others go. Memory for a partition and a block is
+Documents are dealt to ranges of doc_id and packed into blocks, which ascend in
+doc_id. A block's suffixes are sampled where a k-gram has the least hash among those
+of a window of `length` bytes, so that equal windows sample the same place; sorted by
+a fingerprint of their leading bytes they are the block's (sparse) suffix array. The
+key space is dealt to partitions. In each, the blocks' arrays come in turn: a new one
+becomes a level of its own, and levels of equal size merge geometrically in one scan,
+in which equal neighbours are matches.
+
+The first pass finds places whose k-gram occurs again, and for each way in which such
+a place is surrounded the block where it comes first; all later occurrences of these
+surroundings repeat. Where a place has several surroundings, the windows of each
+one's first occurrence go through a second family, which finds the first occurrence
+of every window. The blocks are a table bucketed by range, so that what the families
+found comes to them without moving texts again. Memory for a partition and a block is
 bounded; a passage that very many texts hold enters once for each block.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import on_workers, written
+from palimpsest.llm.common import on_workers, with_range, written
 
 LENGTH, KGRAM = 100, 36
 BLOCK_BYTES = 2 << 20
+#: Documents in a range, about.
+RANGE_DOCS = 4096
 #: Bytes of text for each partition of the key space.
 PARTITION_BYTES = 64 << 20
 NULL_ID = -(2**63)
@@ -112,9 +118,7 @@ class Family:
 
     def _merge_last(self) -> None:
         b, a = self.levels.pop(), self.levels.pop()
-        both = tuple(np.concatenate(x) for x in zip(a, b))
-        order = np.argsort(both[0], kind="stable")  # two sorted runs
-        self.levels.append(self.merge(tuple(x[order] for x in both)))
+        self.levels.append(self.merge(tuple(np.concatenate(x) for x in zip(a, b))))
 
     def whole(self) -> tuple[np.ndarray, ...]:
         while len(self.levels) > 1:
@@ -122,53 +126,72 @@ class Family:
         return self.levels[0]
 
 
-def groups(keys: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+def groups(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
 
 
 def merge_places(x: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """key, surroundings, state: 0 once, 1 again with equal surroundings, 2 with others."""
-    keys, around, state = x
-    at = groups(keys)
+    """key, surroundings, block, again: the first block of each, and whether it has
+    occurred more than once."""
+    order = np.lexsort((x[2], x[1], x[0]))
+    keys, around, block, again = (c[order] for c in x)
+    at = groups(keys, around)
     size = np.diff(np.r_[at, len(keys)])
-    differ = np.maximum.reduceat(around, at) != np.minimum.reduceat(around, at)
-    most = np.maximum.reduceat(state, at)
-    return keys[at], around[at], np.where(differ, 2, np.where(size > 1, np.maximum(most, 1), most)).astype(np.uint8)
+    return keys[at], around[at], block[at], np.maximum(np.maximum.reduceat(again, at), size > 1).astype(np.uint8) if len(at) else again
 
 
-def merge_units(x: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """unit, doc_id, start, number of the block: the first of each unit."""
-    order = np.lexsort((x[3], x[2], x[1], x[0]))
+def merge_windows(x: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """window, block: the first block of each."""
+    order = np.lexsort((x[1], x[0]))
     x = tuple(c[order] for c in x)
     at = groups(x[0])
     return tuple(c[at] for c in x)
 
 
+def both(keys: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """One number for a place and its surroundings."""
+    return mixed(keys ^ mixed(around, 0xC0DE), 0xFACE)
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """Written rows (block, doc_ids, sizes, bytes); a block's documents ascend by id."""
+    """A table (range_id, block, doc_ids, sizes, bytes), bucketed by range_id. Blocks
+    ascend in doc_id, and so do a block's documents."""
+    spark = docs.sparkSession
+    x = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"))
+    x, ranges = with_range(x, "doc_key", x.count() // RANGE_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, now, number = [], 0, None, 0
 
         def full() -> pa.RecordBatch:
-            held.sort(key=lambda x: x[0])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([np.array([d for d, _ in held], "<i8").tobytes()], pa.binary()), pa.array([np.array([len(x) for _, x in held], "<i8").tobytes()], pa.binary()), pa.array([b"".join(x for _, x in held)], pa.binary())],
-                ["doc_ids", "sizes", "bytes"],
+            return pa.RecordBatch.from_pylist(
+                [{"range_id": now, "block": now * (1 << 32) + number, "doc_ids": np.array([d for d, _ in held], "<i8").tobytes(), "sizes": np.array([len(x) for _, x in held], "<i8").tobytes(), "bytes": b"".join(x for _, x in held)}],
+                pa.schema({"range_id": pa.int32(), "block": pa.int64(), "doc_ids": pa.binary(), "sizes": pa.binary(), "bytes": pa.binary()}),
             )
 
         for batch in batches:
-            for doc, raw in zip(batch.column("doc_key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                if held and size + len(raw) > BLOCK_BYTES:
+            for range_id, doc, raw in zip(batch.column("range_id").to_pylist(), batch.column("doc_key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                if held and (range_id != now or size + len(raw) > BLOCK_BYTES):
                     yield full()
-                    held, size = [], 0
+                    held, size, number = [], 0, number + 1
+                if range_id != now:
+                    now, number = range_id, 0
                 held.append((doc, raw))
                 size += len(raw)
         if held:
             yield full()
 
-    x = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"))
-    return written(x.mapInArrow(run, "doc_ids binary, sizes binary, bytes binary").withColumn("block", F.monotonically_increasing_id()), "blocks")
+    made = x.repartition(ranges, "range_id").sortWithinPartitions("range_id", "doc_key", "text").mapInArrow(run, "range_id int, block long, doc_ids binary, sizes binary, bytes binary")
+    name = f"blocks_{uuid.uuid4().hex}"
+    made.write.bucketBy(ranges, "range_id").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -181,97 +204,121 @@ def i8(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<i8")
 
 
-def places(row: dict, length: int) -> tuple[Prints, tuple, np.ndarray]:
+def places(row: dict, length: int) -> tuple[Prints, tuple, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's places in order of their keys and surroundings: fingerprints; key,
+    first window and windows of each; surroundings; where equal ones begin; the
+    number of the group that each is in."""
     prints = Prints(row["bytes"])
     keys, first, count = samples(prints, i8(row["sizes"]), length)
     around = prints(first, count + length - 1, 0xBEEF)
-    return prints, (keys, first, count), around
+    order = np.lexsort((first, around, keys))
+    keys, first, count, around = keys[order], first[order], count[order], around[order]
+    at = groups(keys, around)
+    group = np.zeros(len(keys), np.int64)
+    group[at[1:]] = 1
+    return prints, (keys, first, count), around, at, np.cumsum(group)
 
 
 def suffix_arrays(blocked: DataFrame, partitions: int, length: int) -> DataFrame:
-    """A block's sorted places for each partition: block, part, keys, around, state."""
+    """A block's suffix array for each partition: keys, surroundings, again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            _, (keys, _, _), around = places(row, length)
-            order = np.argsort(keys, kind="stable")
-            keys, around, state = merge_places((keys[order], around[order], np.zeros(len(keys), np.uint8))) if len(keys) else (keys, around, np.zeros(0, np.uint8))
+            _, (keys, _, _), around, at, _ = places(row, length)
+            again = (np.diff(np.r_[at, len(keys)]) > 1).astype(np.uint8)
+            keys, around = keys[at], around[at]
             cut = dealt(keys, partitions)
-            out = [(row["block"], p, keys[a:b].tobytes(), around[a:b].tobytes(), state[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+            out = [(row["range_id"], row["block"], p, keys[a:b].tobytes() + around[a:b].tobytes() + again[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), *[pa.binary()] * 3))], ["block", "part", "keys", "around", "state"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["range_id", "block", "part", "data"])
 
-    return blocked.mapInArrow(run, "block long, part int, keys binary, around binary, state binary")
+    return blocked.mapInArrow(run, "range_id int, block long, part int, data binary")
+
+
+def told(table: pa.Table, name: str, out: list[bytes]) -> pa.Table:
+    return pa.table({**{c: table.column(c) for c in ("range_id", "block", "part")}, name: pa.array(out, pa.binary())})
 
 
 def states(arrays: DataFrame) -> DataFrame:
-    """block, states: for each of a block's places in order, its state among all."""
+    """For each of a block's places and surroundings, in order: 0 it occurs once; 1
+    again, always so surrounded; 2 with other surroundings too; plus 4 if this block
+    is the first that has it."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        each = [(np.frombuffer(k, "<u8"), np.frombuffer(a, "<u8"), np.frombuffer(s, np.uint8)) for k, a, s in zip(*(table.column(c).to_pylist() for c in ("keys", "around", "state")))]
-        family = Family(merge_places)
-        for x in each:
+        family, each = Family(merge_places), []
+        for block, raw in zip(table.column("block").to_pylist(), table.column("data").to_pylist()):
+            n = len(raw) // 17
+            x = (np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u8", n, 8 * n), np.full(n, block, np.int64), np.frombuffer(raw, np.uint8, n, 16 * n))
+            each.append(x)
             family.add(x)
-        keys, _, state = family.whole()
-        out = [state[np.searchsorted(keys, x[0])].tobytes() for x in each]
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "states": pa.array(out, pa.binary())})
+        keys, around, block, again = family.whole()
+        at = groups(keys)
+        size = np.diff(np.r_[at, len(keys)])
+        state = np.where(np.repeat(size, size) > 1, 2, again).astype(np.uint8)
+        one = both(keys, around)
+        order = np.argsort(one)
+        one, state, block = one[order], state[order], block[order]
+        out = []
+        for x in each:
+            i = np.searchsorted(one, both(x[0], x[1]))
+            out.append((state[i] + 4 * (block[i] == x[2])).astype(np.uint8).tobytes())
+        return told(table, "states", out)
+
+    return by_block(arrays.groupBy("part").applyInArrow(run, "range_id int, block long, part int, states binary"), "states")
+
 
-    return joined(arrays.groupBy("part").applyInArrow(run, "block long, part int, states binary"), "states")
+def by_block(parts: DataFrame, name: str) -> DataFrame:
+    """range_id and a map from its blocks to their parts, put together in order. A
+    range has a bounded number of documents."""
+    x = parts.groupBy("range_id", "block").agg(F.array_sort(F.collect_list(F.struct("part", F.hex(name).alias("x")))).alias("x"))
+    x = x.select("range_id", "block", F.unhex(F.array_join(F.transform("x", lambda p: p["x"]), "")).alias(name))
+    return x.groupBy("range_id").agg(F.map_from_entries(F.collect_list(F.struct("block", name))).alias(name))
 
 
-def joined(parts: DataFrame, name: str) -> DataFrame:
-    """The parts of each block put together again in order."""
-    x = parts.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", F.hex(name).alias("x")))).alias("x"))
-    return x.select("block", F.unhex(F.array_join(F.transform("x", lambda p: p["x"]), "")).alias(name))
+def with_told(blocked: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    x = blocked.join(found.hint("shuffle_hash"), "range_id", "left")
+    return x.withColumn(name, F.element_at(name, F.col("block")))
 
 
-def units(blocked: DataFrame, told: DataFrame, partitions: int, length: int) -> DataFrame:
-    """What occurs again: for each block one row (part null) with all occurrences,
-    and for each partition its units with their first place in the block."""
+def units(blocked: DataFrame, found: DataFrame, partitions: int, length: int) -> DataFrame:
+    """For each block one row (part null) with what repeats and the windows that are
+    in question, and for each partition those windows' fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            prints, (keys, first, count), around = places(row, length)
-            known, where = np.unique(keys, return_inverse=True)
-            state = np.frombuffer(row["states"], np.uint8)[where]
-            runs = state == 1
-            each = np.flatnonzero(state == 2)
-            window = np.repeat(first[each] - (np.cumsum(count[each]) - count[each]), count[each]) + np.arange(int(count[each].sum()))
-            start = np.r_[first[runs], window]
-            n = np.r_[count[runs], np.ones(len(window), np.int64)]
-            unit = np.r_[mixed(around[runs] + count[runs].astype(np.uint64), 1), prints(window, length, 2)]
-            order = np.argsort(start, kind="stable")
-            start, n, unit = start[order], n[order], unit[order]
-            own, at, inverse = np.unique(unit, return_index=True, return_inverse=True)
-            docs, sizes = i8(row["doc_ids"]), i8(row["sizes"])
-            ends = np.cumsum(sizes)
-            doc = np.searchsorted(ends, start[at], "right")
-            columns = (own, docs[doc], (start[at] - (ends - sizes)[doc]).astype("<i4"))
+            prints, (keys, first, count), around, at, group = places(row, length)
+            code = np.frombuffer(row["states"] or b"", np.uint8)[group]
+            leads = np.zeros(len(keys), bool)
+            leads[at] = True
+            leads &= code >= 4
+            state = code & 3
+            gone, asked = np.flatnonzero((state > 0) & ~leads), np.flatnonzero((state == 2) & leads)
+            window = np.sort(np.repeat(first[asked] - (np.cumsum(count[asked]) - count[asked]), count[asked]) + np.arange(int(count[asked].sum())))
+            own, lead, inverse = np.unique(prints(window, length, 2), return_index=True, return_inverse=True)
             cut = dealt(own, partitions)
-            out = [(row["block"], None, start.astype("<u4").tobytes() + n.astype("<u4").tobytes() + inverse.astype("<u4").tobytes() + at.astype("<u4").tobytes(), len(start))]
-            out += [(row["block"], p, b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in columns), int(b - a)) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.int64()))], ["block", "part", "data", "n"])
+            data = b"".join(x.astype("<u4").tobytes() for x in (first[gone], count[gone], window, inverse, lead))
+            out = [(row["range_id"], row["block"], None, data, len(gone), len(window))]
+            out += [(row["range_id"], row["block"], p, own[a:b].tobytes(), 0, 0) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))], ["range_id", "block", "part", "data", "gone", "windows"])
 
-    return blocked.join(told.hint("shuffle_hash"), "block").mapInArrow(run, "block long, part int, data binary, n long")
+    return with_told(blocked, found, "states").mapInArrow(run, "range_id int, block long, part int, data binary, gone long, windows long")
 
 
 def firsts(parts: DataFrame) -> DataFrame:
-    """block, first: whether each of a block's units, in order, occurs there first."""
+    """Whether each of a block's windows in question, in order, comes first there."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        each = []
-        for block, raw, n in zip(*(table.column(c).to_pylist() for c in ("block", "data", "n"))):
-            each.append((np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, "<i4", n, 16 * n), np.full(n, block, np.int64)))
-        family = Family(merge_units)
-        for x in each:
-            family.add(x)
-        keys, _, _, block = family.whole()
-        out = [(block[np.searchsorted(keys, x[0])] == x[3]).astype(np.uint8).tobytes() for x in each]
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "first": pa.array(out, pa.binary())})
+        family, each = Family(merge_windows), []
+        for block, raw in zip(table.column("block").to_pylist(), table.column("data").to_pylist()):
+            x = np.frombuffer(raw, "<u8")
+            each.append((x, block))
+            family.add((x, np.full(len(x), block, np.int64)))
+        keys, block = family.whole()
+        return told(table, "first", [(block[np.searchsorted(keys, x)] == b).astype(np.uint8).tobytes() for x, b in each])
 
-    return joined(parts.groupBy("part").applyInArrow(run, "block long, part int, first binary"), "first")
+    return by_block(parts.groupBy("part").applyInArrow(run, "range_id int, block long, part int, first binary"), "first")
 
 
 def cleaned(blocked: DataFrame, again: DataFrame, first: DataFrame, length: int) -> DataFrame:
@@ -282,15 +329,15 @@ def cleaned(blocked: DataFrame, again: DataFrame, first: DataFrame, length: int)
         for row in rows_of(batches):
             raw, docs, sizes = row["bytes"], i8(row["doc_ids"]), i8(row["sizes"])
             mark = np.zeros(len(raw) + 1, np.int32)
-            if row["n"]:
-                m = row["n"]
-                data = np.frombuffer(row["data"], "<u4").astype(np.int64)
-                start, n, inverse, at = data[:m], data[m : 2 * m], data[2 * m : 3 * m], data[3 * m :]
-                kept = np.zeros(m, bool)
-                kept[at[np.frombuffer(row["first"], np.uint8) == 1]] = True
-                gone = ~kept
-                np.add.at(mark, start[gone], 1)
-                np.add.at(mark, start[gone] + n[gone] - 1 + length, -1)
+            what = row["again"] or {"data": b"", "gone": 0, "windows": 0}
+            g, w = what["gone"], what["windows"]
+            data = np.frombuffer(what["data"], "<u4").astype(np.int64)
+            start, count, window, lead = data[:g], data[g : 2 * g], data[2 * g : 2 * g + w], data[2 * g + 2 * w :]
+            stays = np.zeros(w, bool)
+            stays[lead[np.frombuffer(row["first"] or b"", np.uint8) == 1]] = True
+            start, count = np.r_[start, window[~stays]], np.r_[count, np.ones(int((~stays).sum()), np.int64)]
+            np.add.at(mark, start, 1)
+            np.add.at(mark, start + count - 1 + length, -1)
             covered = np.cumsum(mark[:-1]) > 0
             ends = np.cumsum(sizes)
             edge = np.zeros(len(raw) + 1, bool)  # a run of removed bytes ends with its document
@@ -309,7 +356,8 @@ def cleaned(blocked: DataFrame, again: DataFrame, first: DataFrame, length: int)
                 out.append((None if d == NULL_ID else d, b - a, removed, spans, left))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), span, pa.binary()))], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    x = blocked.join(again.hint("shuffle_hash"), "block", "left").join(first.hint("shuffle_hash"), "block", "left")
+    marks = again.groupBy("range_id").agg(F.map_from_entries(F.collect_list(F.struct("block", F.struct("data", "gone", "windows").alias("x")))).alias("again"))
+    x = with_told(with_told(blocked, marks, "again"), first, "first")
     return x.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
@@ -339,7 +387,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     blocked = blocks(docs)
     total = blocked.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     partitions = max(8, -(-total // PARTITION_BYTES))
-    told = written(states(suffix_arrays(blocked, partitions, length)), "states")
-    again = written(units(blocked, told, partitions, length), "units")
+    found = written(states(suffix_arrays(blocked, partitions, length)), "states")
+    again = written(units(blocked, found, partitions, length), "units")
     first = written(firsts(again.filter("part is not null")), "firsts")
-    return cleaned(blocked, again.filter("part is null").select("block", "data", "n"), first, length)
+    return cleaned(blocked, again.filter("part is null"), first, length)

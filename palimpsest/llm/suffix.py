@@ -166,6 +166,8 @@ def blocks(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     x = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"))
     x, ranges = with_range(x, "doc_key", x.count() // RANGE_DOCS)
+    # with fewer buckets than shuffle partitions, joins would deal the texts anew
+    buckets = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, now, number = [], 0, None, 0
@@ -188,9 +190,9 @@ def blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield full()
 
-    made = x.repartition(ranges, "range_id").sortWithinPartitions("range_id", "doc_key", "text").mapInArrow(run, "range_id int, block long, doc_ids binary, sizes binary, bytes binary")
+    made = x.repartition(buckets, "range_id").sortWithinPartitions("range_id", "doc_key", "text").mapInArrow(run, "range_id int, block long, doc_ids binary, sizes binary, bytes binary")
     name = f"blocks_{uuid.uuid4().hex}"
-    made.write.bucketBy(ranges, "range_id").option("compression", "zstd").saveAsTable(name)
+    made.write.bucketBy(buckets, "range_id").option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 

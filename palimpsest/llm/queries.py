@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, exact, neardup, packing, sharding, suffix, tokenfiles, topk, toxicity
+from palimpsest.llm import bpe, exact, neardup, packing, quality, sharding, suffix, tokenfiles, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), share=0.8)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -91,7 +95,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_bpe, op3_near_dedup, op5_toxicity, op6_sharding, op7_top_k, op8_token_files, op9_suffix_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_bpe, op3_near_dedup, op4_quality, op5_toxicity, op6_sharding, op7_top_k, op8_token_files, op9_suffix_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import on_workers, with_range, written
 
 LENGTH, KGRAM = 100, 36
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Documents in a range, about.
 RANGE_DOCS = 4096
 #: Bytes of text for each partition of the key space.
-PARTITION_BYTES = 64 << 20
+PARTITION_BYTES = 24 << 20
 NULL_ID = -(2**63)
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)

@@ -35,7 +35,7 @@ BLOCK_BYTES = 1 << 20
 #: Documents in a range, about.
 RANGE_DOCS = 4096
 #: Bytes of text for each partition of the key space.
-PARTITION_BYTES = 24 << 20
+PARTITION_BYTES = 8 << 20
 NULL_ID = -(2**63)
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -241,7 +241,7 @@ def told(table: pa.Table, name: str, out: list[bytes]) -> pa.Table:
     return pa.table({**{c: table.column(c) for c in ("range_id", "block", "part")}, name: pa.array(out, pa.binary())})
 
 
-def states(arrays: DataFrame) -> DataFrame:
+def states(arrays: DataFrame, partitions: int) -> DataFrame:
     """For each of a block's places and surroundings, in order: 0 it occurs once; 1
     again, always so surrounded; 2 with other surroundings too; plus 4 if this block
     is the first that has it."""
@@ -267,7 +267,7 @@ def states(arrays: DataFrame) -> DataFrame:
             out.append((state[i] + 4 * (block[i] == x[2])).astype(np.uint8).tobytes())
         return told(table, "states", out)
 
-    return by_block(arrays.groupBy("part").applyInArrow(run, "range_id int, block long, part int, states binary"), "states")
+    return by_block(arrays.repartition(partitions, "part").groupBy("part").applyInArrow(run, "range_id int, block long, part int, states binary"), "states")
 
 
 def by_block(parts: DataFrame, name: str) -> DataFrame:
@@ -307,7 +307,7 @@ def units(blocked: DataFrame, found: DataFrame, partitions: int, length: int) ->
     return with_told(blocked, found, "states").mapInArrow(run, "range_id int, block long, part int, data binary, gone long, windows long")
 
 
-def firsts(parts: DataFrame) -> DataFrame:
+def firsts(parts: DataFrame, partitions: int) -> DataFrame:
     """Whether each of a block's windows in question, in order, comes first there."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -320,7 +320,7 @@ def firsts(parts: DataFrame) -> DataFrame:
         keys, block = family.whole()
         return told(table, "first", [(block[np.searchsorted(keys, x)] == b).astype(np.uint8).tobytes() for x, b in each])
 
-    return by_block(parts.groupBy("part").applyInArrow(run, "range_id int, block long, part int, first binary"), "first")
+    return by_block(parts.repartition(partitions, "part").groupBy("part").applyInArrow(run, "range_id int, block long, part int, first binary"), "first")
 
 
 def cleaned(blocked: DataFrame, again: DataFrame, first: DataFrame, length: int) -> DataFrame:
@@ -389,7 +389,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     blocked = blocks(docs)
     total = blocked.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     partitions = max(8, -(-total // PARTITION_BYTES))
-    found = written(states(suffix_arrays(blocked, partitions, length)), "states")
+    found = written(states(suffix_arrays(blocked, partitions, length), partitions), "states")
     again = written(units(blocked, found, partitions, length), "units")
-    first = written(firsts(again.filter("part is not null")), "firsts")
+    first = written(firsts(again.filter("part is not null"), partitions), "firsts")
     return cleaned(blocked, again.filter("part is null"), first, length)

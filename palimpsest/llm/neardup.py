@@ -11,8 +11,8 @@ group's own shingles keep their say against its edits. Equal texts are one node
 from the start.
 
 Pairs of a bucket are never listed. In rounds, a few drawn members are compared with
-those that are in other components than theirs, and components are joined before the
-next round, in which twice as many are drawn. So a large group of copies collapses
+those of like mass in other components, and components are joined before the next
+round, in which eight times as many are drawn. So a large group of copies collapses
 after few comparisons, and only members that match nothing meet all of a bucket.
 """
 
@@ -184,16 +184,19 @@ def summed(parts: DataFrame, fan: int = 32) -> np.ndarray:
     return np.concatenate([rows.get(i, np.zeros(SLICE, np.int64)) for i in range(TABLE // SLICE)])
 
 
-def banded(rows: DataFrame, idf, bands: int, per_band: int) -> DataFrame:
-    """row_id, digest, buckets: a key for each band."""
+def banded(rows: DataFrame, drawn, idf, bands: int, per_band: int) -> DataFrame:
+    """row_id, digest, buckets (a key for each band), mass (the sum of the weights
+    that links are verified with)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(idf.value, bands, per_band)
+        sampler = Sampler(drawn.value, bands, per_band)
         for batch in batches:
-            keys = [sampler.keys(*unpacked(x)).tolist() if x else [] for x in batch.column("shingles").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("digest"), pa.array(keys, pa.list_(pa.int64()))], ["row_id", "digest", "buckets"])
+            each = [unpacked(x) for x in batch.column("shingles").to_pylist()]
+            keys = [sampler.keys(*x).tolist() if len(x[0]) else [] for x in each]
+            mass = [float((idf.value[h & np.uint32(TABLE - 1)] * c).sum(dtype=np.float64)) for h, c in each]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("digest"), pa.array(keys, pa.list_(pa.int64())), pa.array(mass, pa.float64())], ["row_id", "digest", "buckets", "mass"])
 
-    return rows.select("row_id", "digest", "shingles").mapInArrow(run, "row_id long, digest string, buckets array<long>")
+    return rows.select("row_id", "digest", "shingles").mapInArrow(run, "row_id long, digest string, buckets array<long>, mass double")
 
 
 def verified(pairs: DataFrame, shingled: DataFrame, idf) -> DataFrame:
@@ -219,7 +222,7 @@ def verified(pairs: DataFrame, shingled: DataFrame, idf) -> DataFrame:
 
 
 def crowded(members: DataFrame) -> DataFrame:
-    """Members (bucket, row_id) of buckets with at least two."""
+    """Members (bucket, row_id, mass) of buckets with at least two."""
     groups = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     return members.join(groups, "bucket")
 
@@ -228,33 +231,35 @@ def linked(members: DataFrame, shingled: DataFrame, idf, threshold: float = THRE
     """Verified links (a, b, sim) that join the members (bucket, row_id, n) of each
     bucket as all its links would, and the components (node, root) that they make.
 
-    In round r about 2 ** (r + 1) members of a bucket, drawn by hash and not drawn
-    before, are compared with those of other components than theirs; components are
+    In each round about eight times as many members of a bucket, drawn by hash and not
+    before, are compared with those of like mass in other components; components are
     joined before the next round. A bucket ends when it is one component or all its
     members were drawn: every pair of it was compared or joined by other links.
     """
     spark = members.sparkSession
     place = F.pmod(F.xxhash64("row_id", "bucket"), F.lit(1 << 30)) / float(1 << 30)
-    rows = written(members.select("bucket", "row_id", "n", place.alias("place")), "bucket-members")
+    rows = written(members.select("bucket", "row_id", "mass", "n", place.alias("place")), "bucket-members")
     roots = spark.createDataFrame([], "node long, root long")
     seen = spark.createDataFrame([], "a long, b long, sim double")
     low, drawn = 0.0, 0
+    # similarity is at most the smaller mass over the larger
+    alike = F.least("mass", "pivot_mass") >= (threshold - 1e-6) * F.greatest("mass", "pivot_mass")
     while True:
-        drawn = 2 * drawn + 2
+        drawn = 8 * drawn + 2
         rooted = rows.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
         several = rooted.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("bucket")
         rows_now = written(rooted.join(several, "bucket"), "active")
         largest = rows_now.agg(F.max("n")).first()[0]
         if not largest:
             break
-        pivots = rows_now.filter((F.col("place") * F.col("n") >= low) & (F.col("place") * F.col("n") < drawn)).select("bucket", F.col("row_id").alias("pivot"), F.col("root").alias("pivot_root"))
-        pairs = rows_now.join(pivots, "bucket").filter("root <> pivot_root").select(F.least("row_id", "pivot").alias("a"), F.greatest("row_id", "pivot").alias("b")).distinct()
+        pivots = rows_now.filter((F.col("place") * F.col("n") >= low) & (F.col("place") * F.col("n") < drawn)).select("bucket", F.col("row_id").alias("pivot"), F.col("root").alias("pivot_root"), F.col("mass").alias("pivot_mass"))
+        pairs = rows_now.join(pivots, "bucket").filter("root <> pivot_root").filter(alike).select(F.least("row_id", "pivot").alias("a"), F.greatest("row_id", "pivot").alias("b")).distinct()
         sims = written(verified(pairs.join(seen, ["a", "b"], "left_anti"), shingled, idf), "similarities")
         seen = seen.unionByName(sims)
         new = sims.filter(F.col("sim") >= threshold)
         if not new.isEmpty():
             roots = joined(roots, new)
-        rows = rows_now.select("bucket", "row_id", "n", "place")
+        rows = rows_now.select("bucket", "row_id", "mass", "n", "place")
         low = float(drawn)
         if low >= largest:
             break
@@ -289,10 +294,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = W
     rows, table, n = features(docs, size)
     idf, drawn = (spark.sparkContext.broadcast(f(table, n)) for f in (frequencies, rarity))  # 4 MB each
     first = rows.groupBy("digest").agg(F.min("row_id").alias("node"))
-    keys = written(banded(rows, drawn, bands, per_band), "bands")
+    keys = written(banded(rows, drawn, idf, bands, per_band), "bands")
     nodes = written(rows.select("row_id", "doc_id", "digest").join(first, "digest").select("row_id", "doc_id", "node"), "nodes")
     single = keys.join(first, keys["row_id"] == first["node"], "left_semi")
-    members = single.select(F.explode("buckets").alias("bucket"), "row_id")
+    members = single.select(F.explode("buckets").alias("bucket"), "row_id", "mass")
     several = written(crowded(members), "crowded")
     asked = several.select("row_id").distinct()
     shingled = written(rows.select("row_id", "shingles").join(asked, "row_id", "left_semi"), "candidates")

@@ -260,7 +260,7 @@ def test_suffix_dedup(spark, documents, monkeypatch):
 def test_suffix_dedup_odd_rows(spark, odd):
     got = suffix.remove_repeats(odd).toPandas()
     assert len(got) == len(ODD)
-    assert got.loc[got["doc_id"] == 7, "n_removed"].item() == 30000 - 100
+    assert got.loc[got["doc_id"] == 7, "n_removed"].item() == 30000 - 1  # all but the first byte: the string at 1 equals that at 0
 
 
 @pytest.mark.parametrize("digest_bytes", [32, 1])

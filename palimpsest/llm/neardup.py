@@ -4,11 +4,10 @@ TF-IDF shingles, banded, every link verified by weighted Jaccard similarity.
 A shingle is five words of the text in lower case. d is the number of documents in
 its bucket of a hashed table of document frequencies over all rows; the table's
 size is fixed, and the share of N that a bucket gathers by chance does not depend
-on N. Candidates are sampled by the shingle's count times ln((N + 1) / (d + 1)), so
-that a passage which very many texts share hardly brings them together. Links are
-verified with the milder 1 + ln((N + 1) / (d + 1)) / ln(N + 2), by which a large
-group's own shingles keep their say against its edits. Equal texts are one node
-from the start.
+on N. A shingle weighs its count times 1 + ln((N + 1) / (d + 1)) / ln(N + 2), by
+which a large group's own shingles keep their say against its edits. Candidates are
+sampled by the weights that links are verified with, so that a pair's chance of
+meeting depends on its similarity alone. Equal texts are one node from the start.
 
 Pairs of a bucket are never listed. In rounds, a few drawn members are compared with
 those of like mass in other components, and components are joined before the next
@@ -84,11 +83,6 @@ def frequencies(table: np.ndarray, n: int) -> np.ndarray:
     return (1 + np.log((n + 1) / (np.minimum(table, n) + 1)) / np.log(n + 2)).astype(np.float32)
 
 
-def rarity(table: np.ndarray, n: int) -> np.ndarray:
-    """ln((n + 1) / (d + 1)), above 0: the weights that samples are drawn by."""
-    return np.maximum(np.log((n + 1) / (np.minimum(table, n) + 1)), 0.05).astype(np.float32)
-
-
 class Sampler:
     """Consistent weighted samples of a document's weighted shingles."""
 
@@ -184,12 +178,12 @@ def summed(parts: DataFrame, fan: int = 32) -> np.ndarray:
     return np.concatenate([rows.get(i, np.zeros(SLICE, np.int64)) for i in range(TABLE // SLICE)])
 
 
-def banded(rows: DataFrame, drawn, idf, bands: int, per_band: int) -> DataFrame:
-    """row_id, digest, buckets (a key for each band), mass (the sum of the weights
-    that links are verified with)."""
+def banded(rows: DataFrame, idf, bands: int, per_band: int) -> DataFrame:
+    """row_id, digest, buckets (a key for each band), mass (the sum of the
+    weights)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(drawn.value, bands, per_band)
+        sampler = Sampler(idf.value, bands, per_band)
         for batch in batches:
             each = [unpacked(x) for x in batch.column("shingles").to_pylist()]
             keys = [sampler.keys(*x).tolist() if len(x[0]) else [] for x in each]
@@ -292,9 +286,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = W
     spark = docs.sparkSession
     on_workers(spark)
     rows, table, n = features(docs, size)
-    idf, drawn = (spark.sparkContext.broadcast(f(table, n)) for f in (frequencies, rarity))  # 4 MB each
+    idf = spark.sparkContext.broadcast(frequencies(table, n))  # 4 MB
     first = rows.groupBy("digest").agg(F.min("row_id").alias("node"))
-    keys = written(banded(rows, drawn, idf, bands, per_band), "bands")
+    keys = written(banded(rows, idf, bands, per_band), "bands")
     nodes = written(rows.select("row_id", "doc_id", "digest").join(first, "digest").select("row_id", "doc_id", "node"), "nodes")
     single = keys.join(first, keys["row_id"] == first["node"], "left_semi")
     members = single.select(F.explode("buckets").alias("bucket"), "row_id", "mass")

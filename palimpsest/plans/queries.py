@@ -196,6 +196,14 @@ def page_merge(spark: SparkSession, d: str) -> DataFrame:
     return pages.merged([part(0, 10), part(10, 20)])
 
 
+@query(f"""WITH {TURNS}, u AS (SELECT doc & 1 AS part, pos, doc >> 1 AS doc, text FROM pages)
+SELECT doc, text, row_number() OVER (PARTITION BY doc ORDER BY part, pos) AS pos FROM u""")
+def page_merge_all(spark: SparkSession, d: str) -> DataFrame:
+    """All conversations: each of even id, then the one of the next id."""
+    x = turns(spark, d).select(F.shiftright("doc", 1).alias("doc"), "pos", "text", (F.col("doc").bitwiseAND(1) == 1).alias("odd"))
+    return pages.merged([x.filter("odd IS DISTINCT FROM true").drop("odd"), x.filter("odd").drop("odd")])
+
+
 @query(f"""WITH {TURNS} SELECT doc, pos, CASE WHEN pos % 2 = 1 THEN (turn * 90 % 360 + 270) % 360 ELSE turn * 90 % 360 END AS rotation FROM pages""")
 def page_rotate(spark: SparkSession, d: str) -> DataFrame:
     x = turns(spark, d).select("doc", "pos", (F.col("turn") * 90 % 360).alias("rotation"))

@@ -378,6 +378,15 @@ def cer_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("item_id", F.levenshtein("got", "want").alias("distance"), F.round(T.error_rate(F.col("got"), F.col("want")), 6).alias("cer"))
 
 
+@query()
+def cer_whole_texts(spark: SparkSession, d: str) -> DataFrame:
+    """As cer_benchmark, but over all code points of the texts in the form in which the
+    reference compares them; DuckDB's levenshtein counts bytes."""
+    b = table(spark, d, "benchmark").select("item_id", T.metric_text(F.coalesce("text", F.lit(""))).alias("t"))
+    pairs = b.withColumnRenamed("t", "got").join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("want")), "item_id")
+    return pairs.select("item_id", F.levenshtein("got", "want").alias("distance"), F.round(T.error_rate(F.col("got"), F.col("want")), 6).alias("cer"))
+
+
 @query()
 def wer_tokens(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark").select("item_id", T.words(F.col("text")).alias("t"))

@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: toxicity, exact dedup, near-duplicate
 dedup, removal of repeated passages, packing. Each stage is one of the operators of
 palimpsest.llm, works on all rows that its predecessor kept, and is written as
-Parquet in the shared folder and read again for the next."""
+Parquet in the shared folder and read again for the next. Decisions come back to the
+rows by a key of each row, as a doc_id may be null or stand in several rows."""
 
 from __future__ import annotations
 
@@ -10,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import exact, neardup, packing, suffix, toxicity
-from palimpsest.llm.common import written
+from palimpsest.llm.common import keyed, written
+
+#: The column of row keys within a stage.
+ROW = "_row"
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,21 +25,24 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest doc_id."""
-    chosen = exact.exact_dedup(docs).filter("kept").select("doc_id")
-    return docs.join(chosen, "doc_id", "left_semi")
+    x = keyed(docs, ROW)
+    chosen = exact.exact_dedup(x, key=ROW).filter("kept").select(ROW)
+    return x.join(chosen, ROW, "left_semi").select(*docs.columns)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
-    chosen = neardup.near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(chosen, "doc_id", "left_semi")
+    x = keyed(docs, ROW)
+    chosen = neardup.near_duplicates(x, key=ROW).filter("kept").select(ROW)
+    return x.join(chosen, ROW, "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of 100 bytes or more that stand earlier; a
     character that a cut halves goes with the passage."""
-    left = suffix.remove_repeats(docs, length=100).filter("n_removed > 0").select("doc_id", suffix.text_of_bytes("kept").alias("_left"))
-    x = docs.join(left, "doc_id", "left")
+    x = keyed(docs, ROW)
+    left = suffix.remove_repeats(x, length=100, key=ROW).filter("n_removed > 0").select(ROW, suffix.text_of_bytes("kept").alias("_left"))
+    x = x.join(left, ROW, "left")
     return x.select(*(F.coalesce("_left", "text").alias("text") if c == "text" else F.when(F.col("_left").isNull(), F.col(c)).otherwise(F.length("_left")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 

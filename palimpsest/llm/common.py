@@ -44,6 +44,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a long column that numbers its rows, written so that it stays."""
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -36,11 +36,12 @@ def normal(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def digests(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
+def digests(docs: DataFrame, digest_bytes: int = 32, key: str | None = None) -> DataFrame:
     """doc_id, row_id, digest of the normalised text, text_sha256, n_bytes, place.
 
     place names the file that holds the content; with doc_id it is a locator.
-    digest_bytes is below 32 only to force collisions in tests.
+    digest_bytes is below 32 only to force collisions in tests. row_id is the column
+    `key` of docs, where named.
     """
     on_workers(docs.sparkSession)
 
@@ -48,11 +49,12 @@ def digests(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
         for batch in batches:
             raw = batch.column("text").cast(pa.binary()).to_pylist()
             full = [hashlib.sha256((x or b"").lower()).digest() for x in raw]  # bytes.lower() changes A-Z only
-            columns = [batch.column("doc_id"), pa.array([x[:digest_bytes] for x in full], pa.binary()), pa.array([x.hex() for x in full]), pa.array([len(x or b"") for x in raw], pa.int64()), batch.column("place")]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "text_sha256", "n_bytes", "place"])
+            columns = [batch.column("doc_id"), pa.array([x[:digest_bytes] for x in full], pa.binary()), pa.array([x.hex() for x in full]), pa.array([len(x or b"") for x in raw], pa.int64()), batch.column("place"), batch.column("row_id")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "text_sha256", "n_bytes", "place", "row_id"])
 
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.input_file_name().alias("place"))
-    return x.mapInArrow(run, "doc_id long, digest binary, text_sha256 string, n_bytes long, place string").withColumn("row_id", F.monotonically_increasing_id())
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.input_file_name().alias("place"), (F.col(key) if key else F.lit(None)).cast("long").alias("row_id"))
+    x = x.mapInArrow(run, "doc_id long, digest binary, text_sha256 string, n_bytes long, place string, row_id long")
+    return x if key else x.withColumn("row_id", F.monotonically_increasing_id())
 
 
 @contextmanager
@@ -93,12 +95,15 @@ def groups_of(rows: DataFrame, batches: int = 4) -> DataFrame:
     return seen.select("digest", F.col("keeper.row_id").alias("keep_row"), F.col("keeper.doc_id").alias("keep_id"), "group_size")
 
 
-def differing(docs: DataFrame, members: DataFrame) -> DataFrame:
+def differing(docs: DataFrame, members: DataFrame, key: str | None = None) -> DataFrame:
     """row_id of the members whose normalised bytes are not those of the row that
     stays. members: rows of groups with hits. Copies of the kept text are dealt to
     parts of a large group."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text")).alias("text"))
-    texts = text.join(members.hint("shuffle_hash"), text["doc_id"].eqNullSafe(members["doc_id"])).drop(text["doc_id"])
+    if key:
+        texts = docs.select(F.col(key).alias("row_id"), normal(F.col("text")).alias("text")).join(members.hint("shuffle_hash"), "row_id")
+    else:
+        text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text")).alias("text"))
+        texts = text.join(members.hint("shuffle_hash"), text["doc_id"].eqNullSafe(members["doc_id"])).drop(text["doc_id"])
     # where a doc_id repeats, a member takes the text that has its own digest
     texts = texts.filter(F.sha2(F.col("text").cast("binary"), 256) == F.col("text_sha256"))
     parts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
@@ -107,25 +112,27 @@ def differing(docs: DataFrame, members: DataFrame) -> DataFrame:
     return others.join(kept, ["digest", "part"]).filter("text <> kept_text").select("row_id")
 
 
-def exact_dedup(docs: DataFrame, digest_bytes: int = 32, batches: int = 4) -> DataFrame:
+def exact_dedup(docs: DataFrame, digest_bytes: int = 32, batches: int = 4, key: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z only; a null text is
     empty. Of equal texts the row with the largest doc_id stays; of repeated rows
     with one doc_id, one. A null doc_id is smaller than any other. Other columns
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows. `key` names a long column that tells
+    rows apart and comes along.
     """
     spark = docs.sparkSession
-    rows = written(digests(docs, digest_bytes), "digests")
+    rows = written(digests(docs, digest_bytes, key), "digests")
+    along = [F.col("row_id").alias(key)] if key else []
     if rows.isEmpty():
-        return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+        return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *along)
     joined = written(rows.drop("place").join(groups_of(rows, batches), "digest"), "members")
     members = joined.filter("group_size > 1").select("digest", "doc_id", "row_id", "text_sha256", "keep_row", "group_size")
-    unequal = written(differing(docs, members), "unequal")
+    unequal = written(differing(docs, members, key), "unequal")
     if not unequal.isEmpty():  # digests that collide: group these rows by the whole text's digest and length too
         hit = joined.join(unequal, "row_id", "left_semi").select("digest").distinct()
         again = Window.partitionBy("digest", "text_sha256", "n_bytes")
         mended = joined.join(hit, "digest").withColumn("_keep", F.max(F.struct("doc_id", "row_id")).over(again))
         mended = mended.withColumns({"keep_row": F.col("_keep.row_id"), "keep_id": F.col("_keep.doc_id"), "group_size": F.count("*").over(again)}).drop("_keep")
         joined = joined.join(hit, "digest", "left_anti").unionByName(mended)
-    return joined.select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256")
+    return joined.select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256", *along)

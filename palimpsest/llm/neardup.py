@@ -135,13 +135,13 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return common / total if total else 0.0
 
 
-def features(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, np.ndarray, int]:
-    """Written rows (row_id, doc_id, digest, shingles); the table of document
+def features(docs: DataFrame, size: int = WORDS, key: str | None = None) -> tuple[DataFrame, np.ndarray, int]:
+    """Written rows (row_id, doc_id, digest, shingles, key); the table of document
     frequencies, summed over all rows; the number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, table = Words(), np.zeros(TABLE, np.int64)
-        schema = pa.schema({"doc_id": pa.int64(), "digest": pa.string(), "shingles": pa.binary(), "slice": pa.int32(), "counts": pa.binary()})
+        schema = pa.schema({"doc_id": pa.int64(), "digest": pa.string(), "shingles": pa.binary(), "slice": pa.int32(), "counts": pa.binary(), "key": pa.int64()})
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -151,14 +151,14 @@ def features(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, np.ndarray,
                     table[hashes & np.uint32(TABLE - 1)] += 1  # a document counts once in a bucket
                     out.append(packed(hashes, counts))
                 n = len(out)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(out, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(out, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), batch.column("key")], schema=schema)
         for i in range(TABLE // SLICE):
             yield pa.RecordBatch.from_pylist([{"slice": i, "counts": table[i * SLICE : (i + 1) * SLICE].astype("<i8").tobytes()}], schema)
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
-    x = written(x.mapInArrow(run, "doc_id long, digest string, shingles binary, slice int, counts binary").withColumn("row_id", F.monotonically_increasing_id()), "shingles")
-    rows = x.filter("slice is null").select("row_id", "doc_id", "digest", "shingles")
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"), (F.col(key) if key else F.lit(None)).cast("long").alias("key"))
+    x = written(x.mapInArrow(run, "doc_id long, digest string, shingles binary, slice int, counts binary, key long").withColumn("row_id", F.monotonically_increasing_id()), "shingles")
+    rows = x.filter("slice is null").select("row_id", "doc_id", "digest", "shingles", "key")
     return rows, summed(x.filter("slice is not null").select("slice", "counts", "row_id")), rows.count()
 
 
@@ -272,7 +272,7 @@ def joined(roots: DataFrame, new: DataFrame) -> DataFrame:
     return written(kept.unionByName(fresh), "roots")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, bands: int = BANDS, per_band: int = ROWS, key: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size, n_links, kept.
 
     Classes are the connected components of links between texts whose weighted
@@ -281,15 +281,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = W
     doc_id. n_links counts the verified links at the row's text. A null text is
     empty; texts without words are equal to equal ones only. A null doc_id is
     smaller than any other. Repeated rows are rows of one class; other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. `key` names a long column that tells rows
+    apart and comes along.
     """
     spark = docs.sparkSession
     on_workers(spark)
-    rows, table, n = features(docs, size)
+    rows, table, n = features(docs, size, key)
     idf = spark.sparkContext.broadcast(frequencies(table, n))  # 4 MB
     first = rows.groupBy("digest").agg(F.min("row_id").alias("node"))
     keys = written(banded(rows, idf, bands, per_band), "bands")
-    nodes = written(rows.select("row_id", "doc_id", "digest").join(first, "digest").select("row_id", "doc_id", "node"), "nodes")
+    nodes = written(rows.select("row_id", "doc_id", "digest", "key").join(first, "digest").select("row_id", "doc_id", "node", "key"), "nodes")
     single = keys.join(first, keys["row_id"] == first["node"], "left_semi")
     members = single.select(F.explode("buckets").alias("bucket"), "row_id", "mass")
     several = written(crowded(members), "crowded")
@@ -298,6 +299,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = W
     found, roots = linked(several, shingled, idf, threshold)
     counts = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = nodes.join(roots, "node", "left").join(counts, "node", "left")
-    placed = written(placed.select("row_id", "doc_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "placed")
+    placed = written(placed.select("row_id", "doc_id", "key", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "placed")
     groups = placed.groupBy("root").agg(F.min(F.struct("doc_id", "row_id")).alias("keeper"), F.count("*").alias("class_size"))
-    return placed.join(groups, "root").select("doc_id", F.col("keeper.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row_id") == F.col("keeper.row_id")).alias("kept"))
+    return placed.join(groups, "root").select("doc_id", F.col("keeper.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row_id") == F.col("keeper.row_id")).alias("kept"), *([F.col("key").alias(key)] if key else []))

@@ -160,11 +160,11 @@ def both(keys: np.ndarray, around: np.ndarray) -> np.ndarray:
     return mixed(keys ^ mixed(around, 0xC0DE), 0xFACE)
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """A table (range_id, block, doc_ids, sizes, bytes), bucketed by range_id. Blocks
+def blocks(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """A table (range_id, block, doc_ids, row_keys, sizes, bytes), bucketed by range_id. Blocks
     ascend in doc_id, and so do a block's documents."""
     spark = docs.sparkSession
-    x = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"))
+    x = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"), (F.col(key) if key else F.lit(0)).cast("long").alias("row_key"))
     x, ranges = with_range(x, "doc_key", x.count() // RANGE_DOCS)
     # with fewer buckets than shuffle partitions, joins would deal the texts anew
     buckets = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -174,23 +174,23 @@ def blocks(docs: DataFrame) -> DataFrame:
 
         def full() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist(
-                [{"range_id": now, "block": now * (1 << 32) + number, "doc_ids": np.array([d for d, _ in held], "<i8").tobytes(), "sizes": np.array([len(x) for _, x in held], "<i8").tobytes(), "bytes": b"".join(x for _, x in held)}],
-                pa.schema({"range_id": pa.int32(), "block": pa.int64(), "doc_ids": pa.binary(), "sizes": pa.binary(), "bytes": pa.binary()}),
+                [{"range_id": now, "block": now * (1 << 32) + number, "doc_ids": np.array([d for d, _, _ in held], "<i8").tobytes(), "row_keys": np.array([k for _, k, _ in held], "<i8").tobytes(), "sizes": np.array([len(x) for _, _, x in held], "<i8").tobytes(), "bytes": b"".join(x for _, _, x in held)}],
+                pa.schema({"range_id": pa.int32(), "block": pa.int64(), "doc_ids": pa.binary(), "row_keys": pa.binary(), "sizes": pa.binary(), "bytes": pa.binary()}),
             )
 
         for batch in batches:
-            for range_id, doc, raw in zip(batch.column("range_id").to_pylist(), batch.column("doc_key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            for range_id, doc, row, raw in zip(batch.column("range_id").to_pylist(), batch.column("doc_key").to_pylist(), batch.column("row_key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
                 if held and (range_id != now or size + len(raw) > BLOCK_BYTES):
                     yield full()
                     held, size, number = [], 0, number + 1
                 if range_id != now:
                     now, number = range_id, 0
-                held.append((doc, raw))
+                held.append((doc, row, raw))
                 size += len(raw)
         if held:
             yield full()
 
-    made = x.repartition(buckets, "range_id").sortWithinPartitions("range_id", "doc_key", "text").mapInArrow(run, "range_id int, block long, doc_ids binary, sizes binary, bytes binary")
+    made = x.repartition(buckets, "range_id").sortWithinPartitions("range_id", "doc_key", "text").mapInArrow(run, "range_id int, block long, doc_ids binary, row_keys binary, sizes binary, bytes binary")
     name = f"blocks_{uuid.uuid4().hex}"
     made.write.bucketBy(buckets, "range_id").option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
@@ -324,12 +324,12 @@ def firsts(parts: DataFrame, partitions: int) -> DataFrame:
 
 
 def cleaned(blocked: DataFrame, again: DataFrame, first: DataFrame, length: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (start, end in bytes), kept (bytes)."""
+    """doc_id, n_bytes, n_removed, spans (start, end in bytes), kept (bytes), row_key."""
     span = pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            raw, docs, sizes = row["bytes"], i8(row["doc_ids"]), i8(row["sizes"])
+            raw, docs, row_keys, sizes = row["bytes"], i8(row["doc_ids"]), i8(row["row_keys"]), i8(row["sizes"])
             mark = np.zeros(len(raw) + 1, np.int32)
             what = row["again"] or {"data": b"", "gone": 0, "windows": 0}
             g, w = what["gone"], what["windows"]
@@ -351,16 +351,16 @@ def cleaned(blocked: DataFrame, again: DataFrame, first: DataFrame, length: int)
             x = np.frombuffer(raw, np.uint8)
             low, high = np.searchsorted(opens, ends - sizes), np.searchsorted(opens, ends)
             out = []
-            for d, a, b, i, j in zip(docs.tolist(), (ends - sizes).tolist(), ends.tolist(), low.tolist(), high.tolist()):
+            for d, k, a, b, i, j in zip(docs.tolist(), row_keys.tolist(), (ends - sizes).tolist(), ends.tolist(), low.tolist(), high.tolist()):
                 removed = int((closes[i:j] - opens[i:j]).sum())
                 left = raw[a:b] if not removed else x[a:b][~covered[a:b]].tobytes()
                 spans = [{"start": s - a, "end": e - a} for s, e in zip(opens[i:j].tolist(), closes[i:j].tolist())]
-                out.append((None if d == NULL_ID else d, b - a, removed, spans, left))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), span, pa.binary()))], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+                out.append((None if d == NULL_ID else d, b - a, removed, spans, left, k))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), span, pa.binary(), pa.int64()))], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "row_key"])
 
     marks = again.groupBy("range_id").agg(F.map_from_entries(F.collect_list(F.struct("block", F.struct("data", "gone", "windows").alias("x")))).alias("again"))
     x = with_told(with_told(blocked, marks, "again"), first, "first")
-    return x.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return x.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, row_key long")
 
 
 def text_of_bytes(column: str) -> Column:
@@ -373,7 +373,7 @@ def text_of_bytes(column: str) -> Column:
     return text(F.col(column))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, spans, kept.
 
     A byte goes if a string of `length` bytes that covers it also starts earlier:
@@ -381,15 +381,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     UTF-8; a null text is empty; matches never cross documents and are judged on
     the input. Rows that repeat a doc_id are taken one after the other; a null
     doc_id comes first. Texts shorter than `length` stay. Other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. `key` names a long column that tells rows
+    apart and comes along.
     """
     if length < KGRAM:
         raise ValueError(f"length is at least {KGRAM}")
     on_workers(docs.sparkSession)
-    blocked = blocks(docs)
+    blocked = blocks(docs, key)
     total = blocked.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     partitions = max(8, -(-total // PARTITION_BYTES))
     found = written(states(suffix_arrays(blocked, partitions, length), partitions), "states")
     again = written(units(blocked, found, partitions, length), "units")
     first = written(firsts(again.filter("part is not null"), partitions), "firsts")
-    return cleaned(blocked, again.filter("part is null"), first, length)
+    out = cleaned(blocked, again.filter("part is null"), first, length)
+    return out.withColumnRenamed("row_key", key) if key else out.drop("row_key")

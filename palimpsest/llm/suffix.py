@@ -1,20 +1,26 @@
 """Removal of repeated passages by a logarithmic family of suffix arrays.
 
-Documents are dealt to ranges of doc_id and packed into blocks, which ascend in
-doc_id. A block's suffixes are sampled where a k-gram has the least hash among those
-of a window of `length` bytes, so that equal windows sample the same place; sorted by
-a fingerprint of their leading bytes they are the block's (sparse) suffix array. The
-key space is dealt to partitions. In each, the blocks' arrays come in turn: a new one
-becomes a level of its own, and levels of equal size merge geometrically in one scan,
-in which equal neighbours are matches.
-
-The first pass finds places whose k-gram occurs again, and for each way in which such
-a place is surrounded the block where it comes first; all later occurrences of these
-surroundings repeat. Where a place has several surroundings, the windows of each
-one's first occurrence go through a second family, which finds the first occurrence
-of every window. The blocks are a table bucketed by range, so that what the families
-found comes to them without moving texts again. Memory for a partition and a block is
-bounded; a passage that very many texts hold enters once for each block.
+Documents are ordered by doc_id and dealt to partitions of a bucketed table, so that
+what is found comes back to the texts without moving them again. A partition's
+documents come in batches. Suffixes are sampled where a k-gram has the least hash
+among those of a window of `length` bytes, so that equal windows sample equal places
+wherever they stand. The windows that share a sampled place make one passage: the
+suffix at the place, then what precedes it there.
+
+1. Fingerprints of the places' k-grams tell which occur again at all; only those go on.
+   This only chooses candidates: a collision costs work and removes nothing.
+2. Each batch's passages, sorted by their bytes, are its (sparse) suffix array. Key
+   ranges of fingerprints deal them to tasks. There the batches come in order: a
+   batch's array is scanned against each level of the family, passages that a level
+   has repeat, the others are a new level, and levels of like size merge. Where one
+   k-gram has several passages, the windows of each go, again sorted by their bytes,
+   through a second family, which finds those that an earlier passage holds. Bytes
+   are compared everywhere, so the result is exact.
+3. The repeated windows come back to the texts, whose bytes they cover are cut.
+
+A k-gram with very many different passages, such as a line that a large part of the
+documents hold, is split: its windows are dealt one by one by their own fingerprints.
+With `index`, the first family's levels are kept in that folder for later batches.
 """
 
 from __future__ import annotations
@@ -25,20 +31,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import on_workers, with_range, written
+from palimpsest.llm.common import longs, on_workers, scratch, shuffles_dropped, written
 
 LENGTH, KGRAM = 100, 36
-BLOCK_BYTES = 1 << 20
-#: Documents in a range, about.
-RANGE_DOCS = 4096
-#: Bytes of text for each partition of the key space.
-PARTITION_BYTES = 8 << 20
+#: Bytes of text that are looked at together, and of a batch.
+BLOCK_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
+#: Bytes of text for each partition of texts and of the key space. Beyond MOST_PARTS, partitions of texts grow: a
+#: task streams its batches, so that its memory stays.
+TEXT_BYTES, PARTITION_BYTES, MOST_PARTS = 32 << 20, 8 << 20, 100_000
+#: More different passages than this within batches, summed over them, and a k-gram's windows are dealt one by one.
+HOT = 1000
 NULL_ID = -(2**63)
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Characters of a text that order rows of one doc_id.
+PREFIX = 64
 _powers: list[np.ndarray] = []
 
 
@@ -61,26 +71,25 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
 class Prints:
     """Fingerprints of any span of a block's bytes."""
 
-    def __init__(self, raw: bytes) -> None:
-        x = np.frombuffer(raw, np.uint8)
-        up, self.down = powers(len(x))
+    def __init__(self, raw: np.ndarray) -> None:
+        up, self.down = powers(len(raw))
         table = mixed(np.arange(1, 257, dtype=np.uint64), 0x51ED)
         with np.errstate(over="ignore"):
-            self.sums = np.r_[np.uint64(0), np.cumsum(table[x] * up[: len(x)])]
+            self.sums = np.r_[np.uint64(0), np.cumsum(table[raw] * up[: len(raw)])]
 
     def __call__(self, start: np.ndarray, size, seed: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mixed((self.sums[start + size] - self.sums[start]) * self.down[start], seed)
 
 
-def samples(prints: Prints, sizes: np.ndarray, length: int = LENGTH, k: int = KGRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that share their sampled place: key of the place's k-gram,
-    first window, number of windows. Windows never cross documents."""
+def samples(prints: Prints, sizes: np.ndarray, length: int = LENGTH, k: int = KGRAM) -> tuple[np.ndarray, ...]:
+    """Runs of windows that share their sampled place: key of the place's k-gram, the
+    place, first window, number of windows. Windows never cross texts."""
     ends = np.cumsum(sizes)
     windows = np.maximum(sizes - length + 1, 0)
     total = int(windows.sum())
     if not total:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     at = np.repeat(ends - sizes - (np.cumsum(windows) - windows), windows) + np.arange(total)
     n = int(ends[-1])
     kgrams = n - k + 1
@@ -94,36 +103,13 @@ def samples(prints: Prints, sizes: np.ndarray, length: int = LENGTH, k: int = KG
     if span < width:
         low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
     place = (low[at] & bits).astype(np.int64)
-    new = np.r_[True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)]
-    first = np.flatnonzero(new)
-    return grams[place[first]], at[first], np.diff(np.r_[first, total])
+    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)])
+    return grams[place[first]], place[first], at[first], np.diff(np.r_[first, total])
 
 
 def dealt(keys: np.ndarray, partitions: int) -> np.ndarray:
-    """Bounds of the partitions in sorted keys."""
-    part = ((keys >> np.uint64(40)) * np.uint64(partitions)) >> np.uint64(24)
-    return np.searchsorted(part, np.arange(partitions + 1, dtype=np.uint64))
-
-
-class Family:
-    """Levels of sorted arrays; each has the columns of `merge`'s first argument."""
-
-    def __init__(self, merge) -> None:
-        self.merge, self.levels = merge, []
-
-    def add(self, batch: tuple[np.ndarray, ...]) -> None:
-        self.levels.append(batch)
-        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            self._merge_last()
-
-    def _merge_last(self) -> None:
-        b, a = self.levels.pop(), self.levels.pop()
-        self.levels.append(self.merge(tuple(np.concatenate(x) for x in zip(a, b))))
-
-    def whole(self) -> tuple[np.ndarray, ...]:
-        while len(self.levels) > 1:
-            self._merge_last()
-        return self.levels[0]
+    """The partition of each key."""
+    return (((keys >> np.uint64(40)) * np.uint64(partitions)) >> np.uint64(24)).astype(np.int64)
 
 
 def groups(*keys: np.ndarray) -> np.ndarray:
@@ -137,230 +123,400 @@ def groups(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def merge_places(x: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """key, surroundings, block, again: the first block of each, and whether it has
-    occurred more than once."""
-    order = np.lexsort((x[2], x[1], x[0]))
-    keys, around, block, again = (c[order] for c in x)
-    at = groups(keys, around)
-    size = np.diff(np.r_[at, len(keys)])
-    return keys[at], around[at], block[at], np.maximum(np.maximum.reduceat(again, at), size > 1).astype(np.uint8) if len(at) else again
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each of x is in the sorted array `known`."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    i = np.searchsorted(known, x)
+    i[i == len(known)] = 0
+    return known[i] == x
 
 
-def merge_windows(x: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """window, block: the first block of each."""
-    order = np.lexsort((x[1], x[0]))
-    x = tuple(c[order] for c in x)
-    at = groups(x[0])
-    return tuple(c[at] for c in x)
+class Family:
+    """Levels of suffix arrays in the order of their bytes."""
+
+    def __init__(self, levels: list[np.ndarray] | None = None) -> None:
+        self.levels = list(levels or [])
+
+    def known(self, batch: np.ndarray) -> np.ndarray:
+        """Whether a level holds each suffix of the sorted batch."""
+        found = np.zeros(len(batch), bool)
+        for level in self.levels:
+            found |= among(batch, level)
+        return found
+
+    def add(self, batch: np.ndarray) -> None:
+        """A new level; levels merge while the one before is at most twice as long."""
+        if len(batch):
+            self.levels.append(batch)
+        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
+            self._merge_last()
 
+    def _merge_last(self) -> None:
+        b, a = self.levels.pop(), self.levels.pop()
+        self.levels.append(np.sort(np.concatenate([a, b]), kind="stable"))  # two sorted runs: one merge
 
-def both(keys: np.ndarray, around: np.ndarray) -> np.ndarray:
-    """One number for a place and its surroundings."""
-    return mixed(keys ^ mixed(around, 0xC0DE), 0xFACE)
+    def whole(self) -> np.ndarray:
+        while len(self.levels) > 1:
+            self._merge_last()
+        return self.levels[0]
 
 
-def blocks(docs: DataFrame, key: str | None = None) -> DataFrame:
-    """A table (range_id, block, doc_ids, row_keys, sizes, bytes), bucketed by range_id. Blocks
-    ascend in doc_id, and so do a block's documents."""
+class Layout:
+    """A passage in bytes of fixed number: the suffix at the place, what precedes it
+    (at the right end of its field), the bytes before it, the number of windows."""
+
+    def __init__(self, length: int = LENGTH, k: int = KGRAM) -> None:
+        self.length, self.k, self.before = length, k, length - k
+        self.width = length + self.before + 5
+        self.kind = f"S{self.width}"  # ends with a byte that is not 0, so that numpy keeps all
+
+    def cut(self, raw: np.ndarray, place: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        left, right = place - first, first + count - 1 + self.length - place
+        out = np.zeros((len(place), self.width), np.uint8)
+        ahead, behind = np.arange(self.length), np.arange(-self.before, 0)
+        x = raw[np.minimum(place[:, None] + ahead, len(raw) - 1)]
+        out[:, : self.length] = np.where(ahead < right[:, None], x, 0)
+        x = raw[np.maximum(place[:, None] + behind, 0)]
+        out[:, self.length : self.length + self.before] = np.where(behind >= -left[:, None], x, 0)
+        out[:, -5:-3] = left.astype(">u2")[:, None].view(np.uint8)
+        out[:, -3:-1] = count.astype(">u2")[:, None].view(np.uint8)
+        out[:, -1] = 1
+        return out.view(self.kind).ravel()
+
+    def bytes_of(self, passages: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(passages).view(np.uint8).reshape(-1, self.width)
+
+    def counts(self, passages: np.ndarray) -> np.ndarray:
+        return self.bytes_of(passages)[:, -3:-1].copy().view(">u2").ravel().astype(np.int64)
+
+    def several(self, whole: np.ndarray) -> np.ndarray:
+        """Whether the k-gram of each of the sorted passages has another one too."""
+        gram = self.bytes_of(whole)[:, : self.k]
+        same = (gram[1:] == gram[:-1]).all(1)
+        return np.r_[False, same] | np.r_[same, False]
+
+    def windows(self, passages: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The strings of `length` bytes in the passages, and where they start in
+        the batch; at: where each passage's first window starts."""
+        x, count = self.bytes_of(passages), self.counts(passages)
+        left = x[:, -5:-3].copy().view(">u2").ravel().astype(np.int64)
+        text = np.concatenate([x[:, self.length : self.length + self.before], x[:, : self.length]], 1)
+        row = np.repeat(np.arange(len(x)), count)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        found = np.lib.stride_tricks.sliding_window_view(text, self.length, 1)[row, self.before - left[row] + nth]
+        return found.view(f"S{self.length}").ravel(), at[row] + nth
+
+
+def parts_of(docs: DataFrame, key: str | None, total: int) -> DataFrame:
+    """A table (slot, seq, doc_key, row_key, raw), bucketed so that a slot is a bucket
+    of its own; seq ascends in doc_id, over all slots."""
     spark = docs.sparkSession
-    x = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"), (F.col(key) if key else F.lit(0)).cast("long").alias("row_key"))
-    x, ranges = with_range(x, "doc_key", x.count() // RANGE_DOCS)
     # with fewer buckets than shuffle partitions, joins would deal the texts anew
-    buckets = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, now, number = [], 0, None, 0
-
-        def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist(
-                [{"range_id": now, "block": now * (1 << 32) + number, "doc_ids": np.array([d for d, _, _ in held], "<i8").tobytes(), "row_keys": np.array([k for _, k, _ in held], "<i8").tobytes(), "sizes": np.array([len(x) for _, _, x in held], "<i8").tobytes(), "bytes": b"".join(x for _, _, x in held)}],
-                pa.schema({"range_id": pa.int32(), "block": pa.int64(), "doc_ids": pa.binary(), "row_keys": pa.binary(), "sizes": pa.binary(), "bytes": pa.binary()}),
-            )
-
-        for batch in batches:
-            for range_id, doc, row, raw in zip(batch.column("range_id").to_pylist(), batch.column("doc_key").to_pylist(), batch.column("row_key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                if held and (range_id != now or size + len(raw) > BLOCK_BYTES):
-                    yield full()
-                    held, size, number = [], 0, number + 1
-                if range_id != now:
-                    now, number = range_id, 0
-                held.append((doc, row, raw))
-                size += len(raw)
-        if held:
-            yield full()
-
-    made = x.repartition(buckets, "range_id").sortWithinPartitions("range_id", "doc_key", "text").mapInArrow(run, "range_id int, block long, doc_ids binary, row_keys binary, sizes binary, bytes binary")
-    name = f"blocks_{uuid.uuid4().hex}"
-    made.write.bucketBy(buckets, "range_id").option("compression", "zstd").saveAsTable(name)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, total // TEXT_BYTES))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    row = F.col(key).cast("long") if key else F.monotonically_increasing_id()
+    x = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_key"), F.substring(text, 1, PREFIX).alias("prefix"), row.alias("row_key"), text.cast("binary").alias("raw"))
+    order = ["doc_key", "prefix", "row_key"]
+    x = x.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id())
+    x = x.withColumn("slot", F.get(longs(own_buckets(spark, n)), F.spark_partition_id())).select("slot", "seq", "doc_key", "row_key", "raw")
+    name = f"texts_{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        x.write.bucketBy(n, "slot").sortBy("seq").option("compression", "zstd").option("path", scratch(spark, "texts")).saveAsTable(name)
     return spark.table(name)
 
 
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
-
-
-def i8(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<i8")
-
-
-def places(row: dict, length: int) -> tuple[Prints, tuple, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's places in order of their keys and surroundings: fingerprints; key,
-    first window and windows of each; surroundings; where equal ones begin; the
-    number of the group that each is in."""
-    prints = Prints(row["bytes"])
-    keys, first, count = samples(prints, i8(row["sizes"]), length)
-    around = prints(first, count + length - 1, 0xBEEF)
-    order = np.lexsort((first, around, keys))
-    keys, first, count, around = keys[order], first[order], count[order], around[order]
-    at = groups(keys, around)
-    group = np.zeros(len(keys), np.int64)
-    group[at[1:]] = 1
-    return prints, (keys, first, count), around, at, np.cumsum(group)
-
-
-def suffix_arrays(blocked: DataFrame, partitions: int, length: int) -> DataFrame:
-    """A block's suffix array for each partition: keys, surroundings, again."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            _, (keys, _, _), around, at, _ = places(row, length)
-            again = (np.diff(np.r_[at, len(keys)]) > 1).astype(np.uint8)
-            keys, around = keys[at], around[at]
-            cut = dealt(keys, partitions)
-            out = [(row["range_id"], row["block"], p, keys[a:b].tobytes() + around[a:b].tobytes() + again[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["range_id", "block", "part", "data"])
-
-    return blocked.mapInArrow(run, "range_id int, block long, part int, data binary")
-
-
-def told(table: pa.Table, name: str, out: list[bytes]) -> pa.Table:
-    return pa.table({**{c: table.column(c) for c in ("range_id", "block", "part")}, name: pa.array(out, pa.binary())})
-
-
-def states(arrays: DataFrame, partitions: int) -> DataFrame:
-    """For each of a block's places and surroundings, in order: 0 it occurs once; 1
-    again, always so surrounded; 2 with other surroundings too; plus 4 if this block
-    is the first that has it."""
+def own_buckets(spark: SparkSession, n: int) -> list[int]:
+    """For each of n buckets a number that Spark's hash puts there."""
+    found, tried = {}, 0
+    while len(found) < n:
+        more = spark.range(tried, tried + 16 * n + 64).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("bucket")).agg(F.min("id").alias("id"))
+        found = {r.bucket: r.id for r in more.collect()} | found  # n numbers
+        tried += 16 * n + 64
+    return [found[i] for i in range(n)]
+
+
+class Batch:
+    """Neighbouring documents of a slot; places count bytes from the first one."""
+
+    def __init__(self, slot: int, seq: int, told) -> None:
+        self.slot, self.seq, self.told, self.size = slot, seq, told, 0
+        self.docs: list[tuple[int, int, bytes]] = []
+
+    def blocks(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Bytes of some documents, their sizes, and where each starts in the batch. A
+        very long document comes in pieces that share length - 1 bytes, so that
+        each window is in one of them."""
+        held, sizes, base, size, at = [], [], [], 0, 0
+        for _, _, raw in self.docs:
+            for a in range(0, max(len(raw) - length + 1, 1), BLOCK_BYTES):
+                piece = raw if len(raw) <= BLOCK_BYTES else raw[a : a + BLOCK_BYTES + length - 1]
+                if held and size + len(piece) > BLOCK_BYTES:
+                    yield np.frombuffer(b"".join(held), np.uint8), np.array(sizes), np.array(base)
+                    held, sizes, base, size = [], [], [], 0
+                held.append(piece)
+                sizes.append(len(piece))
+                base.append(at + a)
+                size += len(piece)
+                if len(raw) <= BLOCK_BYTES:
+                    break
+            at += len(raw)
+        if size:
+            yield np.frombuffer(b"".join(held), np.uint8), np.array(sizes), np.array(base)
+
+
+def batches_of(rows: Iterator[pa.RecordBatch], marked: bool) -> Iterator[Batch]:
+    """Batches of about BATCH_BYTES, or as an earlier pass has marked them: what was
+    told about a batch stands at its first document."""
+    now = None
+    for batch in rows:
+        told = batch.column("told").to_pylist() if marked else [None] * batch.num_rows
+        for slot, seq, doc, row, raw, mark in zip(*(batch.column(c).to_pylist() for c in ("slot", "seq", "doc_key", "row_key", "raw")), told):
+            if now is None or slot != now.slot or (mark is not None if marked else now.size >= BATCH_BYTES):
+                if now:
+                    yield now
+                now = Batch(slot, seq, mark)
+            now.docs.append((doc, row, raw))
+            now.size += len(raw)
+    if now:
+        yield now
+
+
+def in_batch(x: np.ndarray, sizes: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Places in a block as places in its batch."""
+    starts = np.cumsum(sizes) - sizes
+    doc = np.searchsorted(starts, x, "right") - 1
+    return x - starts[doc] + base[doc]
+
+
+def rows_of(kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], list(kinds))
+
+
+def per_part(part: np.ndarray, partitions: int, *columns: np.ndarray) -> dict[int, tuple[np.ndarray, ...]]:
+    """The columns' rows for each partition, in their order."""
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(partitions + 1))
+    return {p: tuple(c[order[a:b]] for c in columns) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a}
+
+
+def fingerprints(texts: DataFrame, partitions: int, length: int) -> DataFrame:
+    """slot, seq, part, keys, more: of each batch's places, for each partition the
+    fingerprints of their k-grams; more: 128 if the batch has the k-gram again, plus
+    how many other passages it has there (up to 127). A batch without places has a row too."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"slot": pa.int64(), "seq": pa.int64(), "part": pa.int32(), "keys": pa.binary(), "more": pa.binary()}
+        for batch in batches_of(rows, False):
+            found = [(np.zeros(0, np.uint64),) * 2]
+            for raw, sizes, _ in batch.blocks(length):
+                prints = Prints(raw)
+                keys, _, first, count = samples(prints, sizes, length)
+                found.append((keys, prints(first, count + length - 1, 0xBEEF)))
+            keys, around = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((around, keys))
+            keys, around = keys[order], around[order]
+            at = groups(keys)
+            size, kinds_of = np.diff(np.r_[at, len(keys)]), np.zeros(len(keys), np.int64)
+            kinds_of[groups(keys, around)] = 1
+            other = np.add.reduceat(kinds_of, at) - 1 if len(at) else size
+            more = (np.minimum(other, 127) + 128 * (size > 1)).astype(np.uint8)
+            keys = keys[at]
+            out = [(batch.slot, batch.seq, p, k.tobytes(), m.tobytes()) for p, (k, m) in per_part(dealt(keys, partitions), partitions, keys, more).items()]
+            yield rows_of(kinds, out or [(batch.slot, batch.seq, 0, b"", b"")])
+
+    return texts.mapInArrow(run, "slot long, seq long, part int, keys binary, more binary")
+
+
+def occurring_again(prints: DataFrame, partitions: int, hot: int) -> DataFrame:
+    """slot, seq, again, hot: of each batch's fingerprints, those that occur more than
+    once; hot ones have very many different passages."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        family, each = Family(merge_places), []
-        for block, raw in zip(table.column("block").to_pylist(), table.column("data").to_pylist()):
-            n = len(raw) // 17
-            x = (np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u8", n, 8 * n), np.full(n, block, np.int64), np.frombuffer(raw, np.uint8, n, 16 * n))
-            each.append(x)
-            family.add(x)
-        keys, around, block, again = family.whole()
-        at = groups(keys)
-        size = np.diff(np.r_[at, len(keys)])
-        state = np.where(np.repeat(size, size) > 1, 2, again).astype(np.uint8)
-        one = both(keys, around)
-        order = np.argsort(one)
-        one, state, block = one[order], state[order], block[order]
-        out = []
-        for x in each:
-            i = np.searchsorted(one, both(x[0], x[1]))
-            out.append((state[i] + 4 * (block[i] == x[2])).astype(np.uint8).tobytes())
-        return told(table, "states", out)
-
-    return by_block(arrays.repartition(partitions, "part").groupBy("part").applyInArrow(run, "range_id int, block long, part int, states binary"), "states")
-
-
-def by_block(parts: DataFrame, name: str) -> DataFrame:
-    """range_id and a map from its blocks to their parts, put together in order. A
-    range has a bounded number of documents."""
-    x = parts.groupBy("range_id", "block").agg(F.array_sort(F.collect_list(F.struct("part", F.hex(name).alias("x")))).alias("x"))
-    x = x.select("range_id", "block", F.unhex(F.array_join(F.transform("x", lambda p: p["x"]), "")).alias(name))
-    return x.groupBy("range_id").agg(F.map_from_entries(F.collect_list(F.struct("block", name))).alias(name))
-
-
-def with_told(blocked: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    x = blocked.join(found.hint("shuffle_hash"), "range_id", "left")
-    return x.withColumn(name, F.element_at(name, F.col("block")))
-
-
-def units(blocked: DataFrame, found: DataFrame, partitions: int, length: int) -> DataFrame:
-    """For each block one row (part null) with what repeats and the windows that are
-    in question, and for each partition those windows' fingerprints."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            prints, (keys, first, count), around, at, group = places(row, length)
-            code = np.frombuffer(row["states"] or b"", np.uint8)[group]
-            leads = np.zeros(len(keys), bool)
-            leads[at] = True
-            leads &= code >= 4
-            state = code & 3
-            gone, asked = np.flatnonzero((state > 0) & ~leads), np.flatnonzero((state == 2) & leads)
-            window = np.sort(np.repeat(first[asked] - (np.cumsum(count[asked]) - count[asked]), count[asked]) + np.arange(int(count[asked].sum())))
-            own, lead, inverse = np.unique(prints(window, length, 2), return_index=True, return_inverse=True)
-            cut = dealt(own, partitions)
-            data = b"".join(x.astype("<u4").tobytes() for x in (first[gone], count[gone], window, inverse, lead))
-            out = [(row["range_id"], row["block"], None, data, len(gone), len(window))]
-            out += [(row["range_id"], row["block"], p, own[a:b].tobytes(), 0, 0) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))], ["range_id", "block", "part", "data", "gone", "windows"])
-
-    return with_told(blocked, found, "states").mapInArrow(run, "range_id int, block long, part int, data binary, gone long, windows long")
-
-
-def firsts(parts: DataFrame, partitions: int) -> DataFrame:
-    """Whether each of a block's windows in question, in order, comes first there."""
+        keys = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
+        more = np.frombuffer(b"".join(table.column("more").to_pylist()), np.uint8)
+        every = np.concatenate(keys)
+        order = np.argsort(every)
+        at = groups(every[order])
+        again, others = [], []
+        if len(at):
+            more = more[order]
+            size = np.diff(np.r_[at, len(order)])
+            repeats = (size > 1) | (np.maximum.reduceat(more, at) >= 128)
+            many = np.add.reduceat((more & 127).astype(np.int64), at) > hot
+            known = every[order[at]]
+            again, others = known[repeats & ~many], known[repeats & many]
+        out = [[x[among(x, np.asarray(chosen, np.uint64))].tobytes() for x in keys] for chosen in (again, others)]
+        return pa.table({"slot": table.column("slot"), "seq": table.column("seq"), **{c: pa.array(x, pa.binary()) for c, x in zip(("again", "hot"), out)}})
+
+    return by_slot(to_parts(prints, partitions).applyInArrow(run, "slot long, seq long, again binary, hot binary"), F.struct("again", "hot"))
+
+
+def to_parts(rows: DataFrame, partitions: int):
+    return rows.repartition(min(partitions, MOST_PARTS), "part").groupBy("part")
+
+
+def by_slot(rows: DataFrame, what: Column) -> DataFrame:
+    """slot, told: a map from the slot's batches to what was found for them."""
+    x = rows.groupBy("slot", "seq").agg(F.collect_list(what).alias("x"))
+    return x.groupBy("slot").agg(F.map_from_entries(F.collect_list(F.struct("seq", "x"))).alias("told"))
+
+
+def with_told(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """The texts with what was found for a batch at its first document. One row a slot is joined."""
+    x = texts.join(found.hint("shuffle_hash"), "slot", "left")
+    return x.withColumn("told", F.element_at("told", F.col("seq")))
+
+
+PASSAGES = {"slot": pa.int64(), "seq": pa.int64(), "part": pa.int32(), "passages": pa.binary(), "passages_at": pa.binary(), "windows": pa.binary(), "windows_at": pa.binary(), "gone": pa.binary()}
+
+
+def suffix_arrays(texts: DataFrame, partitions: int, length: int, every: bool) -> DataFrame:
+    """A batch's suffix array for each partition: passages and, where a k-gram is hot,
+    windows, in the order of their bytes, and where they first stand; one row of a batch has the
+    windows that it repeats itself, as starts and numbers. every: all passages, not only those whose k-gram
+    occurs again."""
+    layout = Layout(length)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(rows, not every):
+            again, hot = (np.sort(np.frombuffer(b"".join(x[c] for x in batch.told or []), "<u8")) for c in ("again", "hot"))
+            none = np.zeros(0, np.int64)
+            found, windows = [(np.zeros(0, np.uint64), np.zeros(0, layout.kind), none, none)], [(np.zeros(0, np.uint64), np.zeros(0, f"S{length}"), none)]
+            for raw, sizes, base in batch.blocks(length):
+                prints = Prints(raw)
+                keys, place, first, count = samples(prints, sizes, length)
+                some = np.flatnonzero(among(keys, again)) if not every else np.arange(len(keys))
+                if len(some):
+                    found.append((keys[some], layout.cut(raw, place[some], first[some], count[some]), in_batch(first[some], sizes, base), count[some]))
+                some = np.flatnonzero(among(keys, hot))
+                if len(some):
+                    start = np.repeat(first[some] - (np.cumsum(count[some]) - count[some]), count[some]) + np.arange(int(count[some].sum()))
+                    windows.append((prints(start, length, 2), np.lib.stride_tricks.sliding_window_view(raw, length)[start].view(f"S{length}").ravel(), in_batch(start, sizes, base)))
+            keys, passages, at, count = (np.concatenate(c) for c in zip(*found))
+            own, string, start = (np.concatenate(c) for c in zip(*windows))
+            passages, lead = np.unique(passages, return_index=True)  # the first of equal ones, which stand in order
+            gone = np.ones(len(at), bool)
+            gone[lead] = False
+            string, first = np.unique(string, return_index=True)
+            twice = np.ones(len(start), bool)
+            twice[first] = False
+            starts, counts = np.r_[at[gone], start[twice]], np.r_[count[gone], np.ones(int(twice.sum()), np.int64)]
+            a = per_part(dealt(keys[lead], partitions), partitions, passages, at[lead].astype("<u4"))
+            b = per_part(dealt(own[first], partitions), partitions, string, start[first].astype("<u4"))
+            out = [(batch.slot, batch.seq, int(mixed(np.array([batch.seq], np.uint64), 3)[0] % np.uint64(partitions)), None, None, None, None, runs_bytes(starts, counts))]
+            for p in sorted({*a, *b}):
+                columns = [x.tobytes() for x in (*a.get(p, (passages[:0], start[:0])), *b.get(p, (string[:0], start[:0])))]
+                out.append((batch.slot, batch.seq, p, *columns, None))
+            yield rows_of(PASSAGES, out)
+
+    return texts.mapInArrow(run, "slot long, seq long, part int, passages binary, passages_at binary, windows binary, windows_at binary, gone binary")
+
+
+def runs_bytes(starts: np.ndarray, counts: np.ndarray) -> bytes:
+    return starts.astype("<u4").tobytes() + counts.astype("<u4").tobytes()
+
+
+def repeated(arrays: DataFrame, partitions: int, length: int, keep: bool) -> DataFrame:
+    """slot, seq, runs: the windows of each batch that an earlier place holds, as
+    starts and numbers. Rows without a slot hold levels (`passages`, seq their order)
+    from before; keep: give the levels that there are in the end (part, level)."""
+    layout = Layout(length)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        family, each = Family(merge_windows), []
-        for block, raw in zip(table.column("block").to_pylist(), table.column("data").to_pylist()):
-            x = np.frombuffer(raw, "<u8")
-            each.append((x, block))
-            family.add((x, np.full(len(x), block, np.int64)))
-        keys, block = family.whole()
-        return told(table, "first", [(block[np.searchsorted(keys, x)] == b).astype(np.uint8).tobytes() for x, b in each])
-
-    return by_block(parts.repartition(partitions, "part").groupBy("part").applyInArrow(run, "range_id int, block long, part int, first binary"), "first")
-
-
-def cleaned(blocked: DataFrame, again: DataFrame, first: DataFrame, length: int) -> DataFrame:
+        rows = sorted((r for r in table.to_pylist()), key=lambda r: (r["slot"] is not None, r["seq"]))
+        part = rows[0]["part"]
+        read = lambda x, kind: np.frombuffer(x or b"", kind)
+        old = [read(r["passages"], layout.kind) for r in rows if r["slot"] is None]
+        family, fresh, out = Family(old), [], []
+        for r in rows:
+            if r["slot"] is None:
+                continue
+            if r["gone"] is not None:
+                out.append((r["slot"], r["seq"], r["gone"], None, None))
+            x, at = read(r["passages"], layout.kind), read(r["passages_at"], "<u4").astype(np.int64)
+            known = family.known(x)
+            family.add(x[~known])
+            counts = layout.counts(x[known])
+            fresh.append((r, x[~known], at[~known], at[known], counts))
+        levels, seconds = list(family.levels), Family()
+        whole = family.whole() if levels else np.zeros(0, layout.kind)
+        several = layout.several(whole) if len(whole) else np.zeros(0, bool)
+        asked = lambda x: several[np.searchsorted(whole, x)]
+        for x in old:
+            seconds.add(np.unique(layout.windows(x[asked(x)], np.zeros(len(x), np.int64))[0]))
+        for r, x, at, starts, counts in fresh:
+            ask = asked(x)
+            strings, places = layout.windows(x[ask], at[ask])
+            strings, places = np.concatenate([strings, read(r["windows"], f"S{length}")]), np.r_[places, read(r["windows_at"], "<u4").astype(np.int64)]
+            order = np.argsort(places, kind="stable")
+            strings, places = strings[order], places[order]
+            strings, lead = np.unique(strings, return_index=True)
+            known = seconds.known(strings)
+            seconds.add(strings[~known])
+            gone = np.ones(len(places), bool)
+            gone[lead[~known]] = False
+            gone = places[gone]
+            if len(gone):  # neighbours as one run
+                at = np.flatnonzero(np.r_[True, gone[1:] != gone[:-1] + 1])
+                starts, counts = np.r_[starts, gone[at]], np.r_[counts, np.diff(np.r_[at, len(gone)])]
+            if len(starts):
+                out.append((r["slot"], r["seq"], runs_bytes(starts, counts), None, None))
+        if keep:
+            out += [(None, i, None, part, x.tobytes()) for i, x in enumerate(levels)]
+        return pa.Table.from_batches([rows_of(FOUND, out)]) if out else pa.table({c: pa.array([], t) for c, t in FOUND.items()})
+
+    return to_parts(arrays, partitions).applyInArrow(run, "slot long, seq long, runs binary, part int, level binary")
+
+
+FOUND = {"slot": pa.int64(), "seq": pa.int64(), "runs": pa.binary(), "part": pa.int32(), "level": pa.binary()}
+
+
+def cleaned(told: DataFrame, length: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start, end in bytes), kept (bytes), row_key."""
     span = pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            raw, docs, row_keys, sizes = row["bytes"], i8(row["doc_ids"]), i8(row["row_keys"]), i8(row["sizes"])
-            mark = np.zeros(len(raw) + 1, np.int32)
-            what = row["again"] or {"data": b"", "gone": 0, "windows": 0}
-            g, w = what["gone"], what["windows"]
-            data = np.frombuffer(what["data"], "<u4").astype(np.int64)
-            start, count, window, lead = data[:g], data[g : 2 * g], data[2 * g : 2 * g + w], data[2 * g + 2 * w :]
-            stays = np.zeros(w, bool)
-            stays[lead[np.frombuffer(row["first"] or b"", np.uint8) == 1]] = True
-            start, count = np.r_[start, window[~stays]], np.r_[count, np.ones(int((~stays).sum()), np.int64)]
-            np.add.at(mark, start, 1)
-            np.add.at(mark, start + count - 1 + length, -1)
-            covered = np.cumsum(mark[:-1]) > 0
-            ends = np.cumsum(sizes)
-            edge = np.zeros(len(raw) + 1, bool)  # a run of removed bytes ends with its document
-            edge[ends - sizes] = True
-            before = np.r_[False, covered[:-1]] if len(covered) else covered
-            opens = np.flatnonzero(covered & (~before | edge[:-1]))
-            after = np.r_[covered[1:], False] if len(covered) else covered
-            closes = np.flatnonzero(covered & (~after | edge[1:])) + 1
-            x = np.frombuffer(raw, np.uint8)
-            low, high = np.searchsorted(opens, ends - sizes), np.searchsorted(opens, ends)
-            out = []
-            for d, k, a, b, i, j in zip(docs.tolist(), row_keys.tolist(), (ends - sizes).tolist(), ends.tolist(), low.tolist(), high.tolist()):
-                removed = int((closes[i:j] - opens[i:j]).sum())
-                left = raw[a:b] if not removed else x[a:b][~covered[a:b]].tobytes()
-                spans = [{"start": s - a, "end": e - a} for s, e in zip(opens[i:j].tolist(), closes[i:j].tolist())]
-                out.append((None if d == NULL_ID else d, b - a, removed, spans, left, k))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), span, pa.binary(), pa.int64()))], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "row_key"])
-
-    marks = again.groupBy("range_id").agg(F.map_from_entries(F.collect_list(F.struct("block", F.struct("data", "gone", "windows").alias("x")))).alias("again"))
-    x = with_told(with_told(blocked, marks, "again"), first, "first")
-    return x.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, row_key long")
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(rows, True):
+            found = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.told or []]
+            starts = np.concatenate([x[: len(x) // 2] for x in found]) if found else np.zeros(0, np.int64)
+            counts = np.concatenate([x[len(x) // 2 :] for x in found]) if found else starts
+            order = np.argsort(starts)
+            starts, counts = starts[order], counts[order]
+            at, i = 0, 0
+            while i < len(batch.docs):
+                j, size = i, 0
+                while j < len(batch.docs) and (j == i or size + len(batch.docs[j][2]) <= BLOCK_BYTES):
+                    size += len(batch.docs[j][2])
+                    j += 1
+                lo, hi = np.searchsorted(starts, [at, at + size])
+                yield without(batch.docs[i:j], starts[lo:hi] - at, counts[lo:hi])
+                at, i = at + size, j
+
+    def without(docs: list[tuple[int, int, bytes]], starts: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        raw, sizes = b"".join(x for _, _, x in docs), np.array([len(x) for _, _, x in docs])
+        mark = np.zeros(len(raw) + 1, np.int32)
+        np.add.at(mark, starts, 1)
+        np.add.at(mark, starts + counts - 1 + length, -1)
+        covered = np.cumsum(mark[:-1]) > 0
+        ends = np.cumsum(sizes)
+        edge = np.zeros(len(raw) + 1, bool)  # a run of removed bytes ends with its document
+        edge[ends - sizes] = True
+        before = np.r_[False, covered[:-1]] if len(covered) else covered
+        opens = np.flatnonzero(covered & (~before | edge[:-1]))
+        after = np.r_[covered[1:], False] if len(covered) else covered
+        closes = np.flatnonzero(covered & (~after | edge[1:])) + 1
+        x = np.frombuffer(raw, np.uint8)
+        low, high = np.searchsorted(opens, ends - sizes), np.searchsorted(opens, ends)
+        out = []
+        for (doc, row, own), a, b, i, j in zip(docs, (ends - sizes).tolist(), ends.tolist(), low.tolist(), high.tolist()):
+            removed = int((closes[i:j] - opens[i:j]).sum())
+            left = own if not removed else x[a:b][~covered[a:b]].tobytes()
+            spans = [{"start": s - a, "end": e - a} for s, e in zip(opens[i:j].tolist(), closes[i:j].tolist())]
+            out.append((None if doc == NULL_ID else doc, b - a, removed, spans, left, row))
+        return rows_of({"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "spans": span, "kept": pa.binary(), "row_key": pa.int64()}, out)
+
+    return told.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, row_key long")
 
 
 def text_of_bytes(column: str) -> Column:
@@ -373,25 +529,51 @@ def text_of_bytes(column: str) -> Column:
     return text(F.col(column))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str | None = None) -> DataFrame:
+def stored_levels(spark: SparkSession, index: str) -> DataFrame | None:
+    """The newest levels in the folder: part, seq, level, partitions."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(index)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in system.listStatus(place)] if system.exists(place) else []
+    done = [int(x.removeprefix("version=")) for x in names if x.startswith("version=") and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{index}/{x}/_SUCCESS"))]
+    return spark.read.parquet(f"{index}/version={max(done)}").withColumn("version", F.lit(max(done))) if done else None
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str | None = None, index: str | None = None, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, spans, kept.
 
     A byte goes if a string of `length` bytes that covers it also starts earlier:
     in a smaller doc_id, or earlier in the same document. Texts are whole, in
     UTF-8; a null text is empty; matches never cross documents and are judged on
-    the input. Rows that repeat a doc_id are taken one after the other; a null
-    doc_id comes first. Texts shorter than `length` stay. Other columns are
+    the input. Rows that repeat a doc_id are taken one after the other, in the order of
+    their first characters; a null doc_id comes first. Texts shorter than `length` stay; a very long text
+    is looked at in pieces, with one result. Other columns are
     ignored; an empty table gives no rows. `key` names a long column that tells rows
     apart and comes along.
+
+    index: a folder that all machines share. Strings in the batches that it has seen count as
+    earlier, whatever their doc_id, and this call's batch is added to it. All passages
+    go to an index, not only those that occur again, as a later batch may repeat them.
     """
     if length < KGRAM:
         raise ValueError(f"length is at least {KGRAM}")
-    on_workers(docs.sparkSession)
-    blocked = blocks(docs, key)
-    total = blocked.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+    spark = docs.sparkSession
+    on_workers(spark)
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
+    texts = parts_of(docs, key, total)
     partitions = max(8, -(-total // PARTITION_BYTES))
-    found = written(states(suffix_arrays(blocked, partitions, length), partitions), "states")
-    again = written(units(blocked, found, partitions, length), "units")
-    first = written(firsts(again.filter("part is not null"), partitions), "firsts")
-    out = cleaned(blocked, again.filter("part is null"), first, length)
+    if index is None:
+        known = written(occurring_again(fingerprints(texts, partitions, length), partitions, hot), "again")
+        found = written(repeated(suffix_arrays(with_told(texts, known), partitions, length, False), partitions, length, False), "repeated")
+    else:
+        before = stored_levels(spark, index)
+        partitions = before.first()["partitions"] if before else partitions
+        arrays = suffix_arrays(texts, partitions, length, True)
+        if before:
+            none = {c: F.lit(None).cast("binary").alias(c) for c in ("passages_at", "windows", "windows_at", "gone")}
+            arrays = arrays.unionByName(before.select(F.lit(None).cast("long").alias("slot"), "seq", "part", F.col("level").alias("passages"), *none.values()))
+        found = written(repeated(arrays, partitions, length, True), "repeated")
+        version = before.first()["version"] + 1 if before else 0
+        found.filter("level is not null").select("part", "seq", "level", F.lit(partitions).alias("partitions")).write.parquet(f"{index}/version={version}")
+        found = found.filter("level is null")
+    out = cleaned(with_told(texts, by_slot(found, F.col("runs"))), length)
     return out.withColumnRenamed("row_key", key) if key else out.drop("row_key")

@@ -108,8 +108,8 @@ def samples(prints: Prints, sizes: np.ndarray, length: int = LENGTH, k: int = KG
 
 
 def dealt(keys: np.ndarray, partitions: int) -> np.ndarray:
-    """The partition of each key."""
-    return (((keys >> np.uint64(40)) * np.uint64(partitions)) >> np.uint64(24)).astype(np.int64)
+    """The partition of each key. Sampled keys are the least of many, so they are mixed first."""
+    return (((mixed(keys, 0xDEA1) >> np.uint64(40)) * np.uint64(partitions)) >> np.uint64(24)).astype(np.int64)
 
 
 def groups(*keys: np.ndarray) -> np.ndarray:

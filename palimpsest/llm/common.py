@@ -15,8 +15,16 @@ from pyspark.sql.window import Window
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Bytes in a batch that goes to a Python worker, where the session has Spark's default of 64 MB: rows may be very long.
+BATCH_BYTES, SPARK_DEFAULT = "8m", "67108864b"
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package when it isn't installed."""
+    """Let Python workers import this package when it isn't installed, and bound
+    their batches by bytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == SPARK_DEFAULT:
+        spark.conf.set(name, BATCH_BYTES)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)

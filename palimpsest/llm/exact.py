@@ -14,11 +14,12 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.llm.common import on_workers, scratch, written
+from palimpsest.llm.common import keyed, on_workers, scratch, written
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -36,12 +37,26 @@ def normal(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
+def locator(docs: DataFrame) -> Column:
+    """The file and the row in it, of a table that is read from files of rows."""
+    where = docs.metadataColumn("_metadata")
+    return F.concat_ws("#", where.getField("file_path"), where.getField("row_index"))
+
+
+def located(docs: DataFrame) -> bool:
+    try:
+        docs.select(locator(docs)).schema
+    except AnalysisException:
+        return False
+    return True
+
+
 def digests(docs: DataFrame, digest_bytes: int = 32, key: str | None = None) -> DataFrame:
     """doc_id, row_id, digest of the normalised text, text_sha256, n_bytes, place.
 
-    place names the file that holds the content; with doc_id it is a locator.
-    digest_bytes is below 32 only to force collisions in tests. row_id is the column
-    `key` of docs, where named.
+    place is the locator of the content: the file and the row in it. Where docs isn't
+    read from files of rows, `key` names a column that locates a row; it is then the
+    row_id. digest_bytes is below 32 only to force collisions in tests.
     """
     on_workers(docs.sparkSession)
 
@@ -52,7 +67,7 @@ def digests(docs: DataFrame, digest_bytes: int = 32, key: str | None = None) ->
             columns = [batch.column("doc_id"), pa.array([x[:digest_bytes] for x in full], pa.binary()), pa.array([x.hex() for x in full]), pa.array([len(x or b"") for x in raw], pa.int64()), batch.column("place"), batch.column("row_id")]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "text_sha256", "n_bytes", "place", "row_id"])
 
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.input_file_name().alias("place"), (F.col(key) if key else F.lit(None)).cast("long").alias("row_id"))
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(key).cast("string") if key else locator(docs)).alias("place"), (F.col(key) if key else F.lit(None)).cast("long").alias("row_id"))
     x = x.mapInArrow(run, "doc_id long, digest binary, text_sha256 string, n_bytes long, place string, row_id long")
     return x if key else x.withColumn("row_id", F.monotonically_increasing_id())
 
@@ -95,17 +110,18 @@ def groups_of(rows: DataFrame, batches: int = 4) -> DataFrame:
     return seen.select("digest", F.col("keeper.row_id").alias("keep_row"), F.col("keeper.doc_id").alias("keep_id"), "group_size")
 
 
+def texts_of(docs: DataFrame, members: DataFrame, key: str | None = None) -> DataFrame:
+    """The members (place and more) with the normalised texts at their places. A place
+    is one row, so that rows which repeat a doc_id meet their own text only."""
+    text = docs.select((F.col(key).cast("string") if key else locator(docs)).alias("place"), normal(F.col("text")).alias("text"))
+    return text.join(members.hint("shuffle_hash"), "place")
+
+
 def differing(docs: DataFrame, members: DataFrame, key: str | None = None) -> DataFrame:
     """row_id of the members whose normalised bytes are not those of the row that
     stays. members: rows of groups with hits. Copies of the kept text are dealt to
     parts of a large group."""
-    if key:
-        texts = docs.select(F.col(key).alias("row_id"), normal(F.col("text")).alias("text")).join(members.hint("shuffle_hash"), "row_id")
-    else:
-        text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text")).alias("text"))
-        texts = text.join(members.hint("shuffle_hash"), text["doc_id"].eqNullSafe(members["doc_id"])).drop(text["doc_id"])
-    # where a doc_id repeats, a member takes the text that has its own digest
-    texts = texts.filter(F.sha2(F.col("text").cast("binary"), 256) == F.col("text_sha256"))
+    texts = texts_of(docs, members, key)
     parts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
     kept = texts.filter("row_id = keep_row").select("digest", F.col("text").alias("kept_text"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     others = texts.filter("row_id <> keep_row").withColumn("part", F.pmod(F.xxhash64("row_id"), parts).cast("int"))
@@ -121,18 +137,19 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, batches: int = 4, key:
     are ignored; an empty table gives no rows. `key` names a long column that tells
     rows apart and comes along.
     """
-    spark = docs.sparkSession
-    rows = written(digests(docs, digest_bytes, key), "digests")
     along = [F.col("row_id").alias(key)] if key else []
+    if not key and not located(docs):
+        docs, key = keyed(docs.select("doc_id", "text"), "_row"), "_row"
+    rows = written(digests(docs, digest_bytes, key), "digests")
     if rows.isEmpty():
         return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *along)
-    joined = written(rows.drop("place").join(groups_of(rows, batches), "digest"), "members")
-    members = joined.filter("group_size > 1").select("digest", "doc_id", "row_id", "text_sha256", "keep_row", "group_size")
+    joined = written(rows.join(groups_of(rows, batches), "digest"), "members")
+    members = joined.filter("group_size > 1").select("digest", "place", "row_id", "keep_row", "group_size")
     unequal = written(differing(docs, members, key), "unequal")
-    if not unequal.isEmpty():  # digests that collide: group these rows by the whole text's digest and length too
+    if not unequal.isEmpty():  # digests that collide: group these rows by the whole texts
         hit = joined.join(unequal, "row_id", "left_semi").select("digest").distinct()
-        again = Window.partitionBy("digest", "text_sha256", "n_bytes")
-        mended = joined.join(hit, "digest").withColumn("_keep", F.max(F.struct("doc_id", "row_id")).over(again))
-        mended = mended.withColumns({"keep_row": F.col("_keep.row_id"), "keep_id": F.col("_keep.doc_id"), "group_size": F.count("*").over(again)}).drop("_keep")
+        again = Window.partitionBy("digest", "text")
+        mended = texts_of(docs, joined.join(hit, "digest"), key).withColumn("_keep", F.max(F.struct("doc_id", "row_id")).over(again))
+        mended = mended.withColumns({"keep_row": F.col("_keep.row_id"), "keep_id": F.col("_keep.doc_id"), "group_size": F.count("*").over(again)}).select(*joined.columns)
         joined = joined.join(hit, "digest", "left_anti").unionByName(mended)
     return joined.select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256", *along)

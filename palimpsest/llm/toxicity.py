@@ -241,12 +241,14 @@ def expected(e: np.ndarray, moves: np.ndarray, mask: np.ndarray) -> tuple[np.nda
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
     """Fit on at most train_docs labelled documents of each class, chosen by a hash
-    of their ids; rows whose crc32(doc_id as text) mod 4 is 2 are never used."""
+    of their ids; rows whose crc32(doc_id as text) mod 4 is 2 are never used. Null ids
+    and null texts are not fitted on; empty tables give a field without features."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
     known = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.filter(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs) for x in (1, 0)]
-    # at most 2 * train_docs ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull()).join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("doc_id", "text", "toxic").collect()
+    # at most 2 * train_docs ids, and one text of each: of rows that repeat an id, the least
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull()).join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
+    rows = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return fit([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0])
 

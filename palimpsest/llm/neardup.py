@@ -9,10 +9,12 @@ which a large group's own shingles keep their say against its edits. Candidates
 sampled by the weights that links are verified with, so that a pair's chance of
 meeting depends on its similarity alone. Equal texts are one node from the start.
 
-Pairs of a bucket are never listed. In rounds, a few drawn members are compared with
-those of like mass in other components, and components are joined before the next
-round, in which eight times as many are drawn. So a large group of copies collapses
-after few comparisons, and only members that match nothing meet all of a bucket.
+Pairs of a bucket are never listed. Its members meet in blocks of bounded size, where
+an upper bound of the similarity, taken from sums of weights over slices of the
+hashes, passes few pairs on to be verified. In three rounds the first members of a block,
+some more, and at last all are compared with those in other components, and components
+are joined before the next round, so that a large group of copies collapses after few
+comparisons.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Buckets of the table of document frequencies (4 MB, whatever the input).
 TABLE, SLICE = 1 << 20, 1 << 16
+#: Slices of the hashes for the bound, members in a block at most, and how many of them each round compares with the rest.
+SLICES, BLOCK, DRAWN = 256, 2048, (2, 18, None)
 #: Rows of random variates that shingles share by hash.
 VARIATES = 1 << 14
 
@@ -179,18 +183,16 @@ def summed(parts: DataFrame, fan: int = 32) -> np.ndarray:
 
 
 def banded(rows: DataFrame, idf, bands: int, per_band: int) -> DataFrame:
-    """row_id, digest, buckets (a key for each band), mass (the sum of the
-    weights)."""
+    """row_id, digest, buckets (a key for each band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(idf.value, bands, per_band)
         for batch in batches:
             each = [unpacked(x) for x in batch.column("shingles").to_pylist()]
             keys = [sampler.keys(*x).tolist() if len(x[0]) else [] for x in each]
-            mass = [float((idf.value[h & np.uint32(TABLE - 1)] * c).sum(dtype=np.float64)) for h, c in each]
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("digest"), pa.array(keys, pa.list_(pa.int64())), pa.array(mass, pa.float64())], ["row_id", "digest", "buckets", "mass"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("digest"), pa.array(keys, pa.list_(pa.int64()))], ["row_id", "digest", "buckets"])
 
-    return rows.select("row_id", "digest", "shingles").mapInArrow(run, "row_id long, digest string, buckets array<long>, mass double")
+    return rows.select("row_id", "digest", "shingles").mapInArrow(run, "row_id long, digest string, buckets array<long>")
 
 
 def verified(pairs: DataFrame, shingled: DataFrame, idf) -> DataFrame:
@@ -216,48 +218,123 @@ def verified(pairs: DataFrame, shingled: DataFrame, idf) -> DataFrame:
 
 
 def crowded(members: DataFrame) -> DataFrame:
-    """Members (bucket, row_id, mass) of buckets with at least two."""
+    """Members (bucket, row_id, n) of buckets with at least two, n being their number."""
     groups = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     return members.join(groups, "bucket")
 
 
+def sliced(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sums of the weights over slices of the hashes, rounded up. The sum of two texts'
+    smaller ones is at least the weight that they have in common."""
+    x = np.bincount(hashes >> np.uint32(24), weights, SLICES)
+    low = np.minimum(x, 60000).astype(np.float16)
+    return np.where(x > 60000, np.float16(np.inf), np.where(low < x, np.nextafter(low, np.float16(np.inf)), low))
+
+
+def sketched(shingled: DataFrame, idf) -> DataFrame:
+    """row_id, mass (the sum of the weights), buckets and slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mass, slices = [], []
+            for raw in batch.column("shingles").to_pylist():
+                hashes, counts = unpacked(raw)
+                weights = idf.value[hashes & np.uint32(TABLE - 1)] * counts
+                mass.append(float(weights.sum(dtype=np.float64)))
+                slices.append(sliced(hashes, weights).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("buckets"), pa.array(mass, pa.float64()), pa.array(slices, pa.binary())], ["row_id", "buckets", "mass", "slices"])
+
+    return shingled.select("row_id", "buckets", "shingles").mapInArrow(run, "row_id long, buckets array<long>, mass double, slices binary")
+
+
+def compared(block: pa.Table, done: int, drawn: int | None, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of a block's members that may be similar: of other components, of like
+    mass, this bucket being their first common one. The members from `done` to `drawn` in
+    the block's order meet all; in a block of two parts, members of one meet the other."""
+    n = block.num_rows
+    order = np.lexsort((block.column("row_id").to_numpy(), block.column("place").to_numpy()))
+    row, root, mass, other = (block.column(c).to_numpy()[order] for c in ("row_id", "root", "mass", "other"))
+    if (root == root[0]).all():
+        return []
+    buckets = np.stack(block.column("buckets").to_numpy())[order]
+    slices = np.frombuffer(b"".join(block.column("slices").to_pylist()), np.float16).reshape(n, SLICES)[order].astype(np.float32)
+    band = int(np.argmax(buckets[0] == block.column("bucket")[0].as_py()))
+    whole, out = bool((other == other[0]).all()), []
+    for i in range(done if whole else 0, n - 1 if drawn is None else min(drawn, n - 1)):
+        j = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        j = j[np.minimum(mass[j], mass[i]) >= (threshold - 1e-6) * np.maximum(mass[j], mass[i])]
+        if not whole:
+            j = j[other[j] != other[i]]
+        if len(j):
+            j = j[np.argmax(buckets[j] == buckets[i], 1) == band]
+        if len(j):
+            common = np.minimum(slices[j], slices[i]).sum(1)
+            j = j[common >= (threshold - 1e-4) * np.maximum(mass[j] + mass[i] - common, 1e-9)]
+            out += [(min(int(row[i]), x), max(int(row[i]), x)) for x in row[j].tolist()]
+    return out
+
+
+def candidates(active: DataFrame, sketches: DataFrame, done: int, drawn: int | None, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) to be verified. A bucket of many members is dealt to blocks;
+    at last (drawn is None) each two blocks meet too."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    x = active.withColumn("place", F.xxhash64("row_id")).withColumn("own", F.pmod("place", parts).cast("int"))
+    others = F.sequence(F.lit(0), parts - 1) if drawn is None else F.array("own")
+    x = x.withColumn("part", F.explode(others)).withColumns({"low": F.least("own", "part"), "high": F.greatest("own", "part")})
+    x = x.join(sketches, "row_id").select("bucket", "low", "high", "row_id", "root", "place", F.col("own").alias("other"), "mass", "buckets", "slices")
+    keys = ["bucket", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        pairs = lambda found: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), ()))], ["a", "b"])
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]).combine_chunks() if held else rows
+            cuts = [0, *(groups_of(*(rows.column(c).to_numpy() for c in keys))[1:]).tolist(), rows.num_rows]
+            found = []
+            for a, b in zip(cuts[:-2], cuts[1:]):
+                if b - a > 1:
+                    found += compared(rows.slice(a, b - a), done, drawn, threshold)
+            held = rows.slice(cuts[-2])
+            yield pairs(found)
+        if held and held.num_rows > 1:
+            yield pairs(compared(held, done, drawn, threshold))
+
+    return x.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
+def groups_of(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 def linked(members: DataFrame, shingled: DataFrame, idf, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b, sim) that join the members (bucket, row_id, n) of each
     bucket as all its links would, and the components (node, root) that they make.
 
-    In each round about eight times as many members of a bucket, drawn by hash and not
-    before, are compared with those of like mass in other components; components are
-    joined before the next round. A bucket ends when it is one component or all its
-    members were drawn: every pair of it was compared or joined by other links.
+    A bucket ends when it is one component or all its members have met: every pair
+    of it was compared, is known to be below the threshold, or is joined by other links.
     """
     spark = members.sparkSession
-    place = F.pmod(F.xxhash64("row_id", "bucket"), F.lit(1 << 30)) / float(1 << 30)
-    rows = written(members.select("bucket", "row_id", "mass", "n", place.alias("place")), "bucket-members")
+    sketches = written(sketched(shingled, idf), "sketches")
     roots = spark.createDataFrame([], "node long, root long")
-    seen = spark.createDataFrame([], "a long, b long, sim double")
-    low, drawn = 0.0, 0
-    # similarity is at most the smaller mass over the larger
-    alike = F.least("mass", "pivot_mass") >= (threshold - 1e-6) * F.greatest("mass", "pivot_mass")
-    while True:
-        drawn = 8 * drawn + 2
+    found = spark.createDataFrame([], "a long, b long, sim double")
+    done, rows = 0, members.select("bucket", "row_id", "n")
+    for drawn in DRAWN:
         rooted = rows.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
         several = rooted.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("bucket")
-        rows_now = written(rooted.join(several, "bucket"), "active")
-        largest = rows_now.agg(F.max("n")).first()[0]
-        if not largest:
-            break
-        pivots = rows_now.filter((F.col("place") * F.col("n") >= low) & (F.col("place") * F.col("n") < drawn)).select("bucket", F.col("row_id").alias("pivot"), F.col("root").alias("pivot_root"), F.col("mass").alias("pivot_mass"))
-        pairs = rows_now.join(pivots, "bucket").filter("root <> pivot_root").filter(alike).select(F.least("row_id", "pivot").alias("a"), F.greatest("row_id", "pivot").alias("b")).distinct()
-        sims = written(verified(pairs.join(seen, ["a", "b"], "left_anti"), shingled, idf), "similarities")
-        seen = seen.unionByName(sims)
+        active = rooted.join(several, "bucket").filter(F.col("n") > done)
+        sims = written(verified(candidates(active, sketches, done, drawn, threshold), shingled, idf), "similarities")
         new = sims.filter(F.col("sim") >= threshold)
+        found = found.unionByName(new)
         if not new.isEmpty():
             roots = joined(roots, new)
-        rows = rows_now.select("bucket", "row_id", "mass", "n", "place")
-        low = float(drawn)
-        if low >= largest:
-            break
-    return seen.filter(F.col("sim") >= threshold), roots
+        done = drawn
+    return found, roots
 
 
 def joined(roots: DataFrame, new: DataFrame) -> DataFrame:
@@ -292,10 +369,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = W
     keys = written(banded(rows, idf, bands, per_band), "bands")
     nodes = written(rows.select("row_id", "doc_id", "digest", "key").join(first, "digest").select("row_id", "doc_id", "node", "key"), "nodes")
     single = keys.join(first, keys["row_id"] == first["node"], "left_semi")
-    members = single.select(F.explode("buckets").alias("bucket"), "row_id", "mass")
+    members = single.select(F.explode("buckets").alias("bucket"), "row_id")
     several = written(crowded(members), "crowded")
     asked = several.select("row_id").distinct()
-    shingled = written(rows.select("row_id", "shingles").join(asked, "row_id", "left_semi"), "candidates")
+    shingled = written(rows.select("row_id", "shingles").join(keys.select("row_id", "buckets").join(asked, "row_id", "left_semi"), "row_id"), "candidates")
     found, roots = linked(several, shingled, idf, threshold)
     counts = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = nodes.join(roots, "node", "left").join(counts, "node", "left")

@@ -25,9 +25,11 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",  # of an executor; the state is on disk
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no preallocated logs
 }
+#: Rows for each partition of the state, about, so that an executor doesn't hold many small stores.
+STATE_ROWS = 20_000
 #: Rows of a group that one copy of the kept text is compared with.
 SALT_ROWS = 4096
 
@@ -102,7 +104,8 @@ def groups_of(rows: DataFrame, batches: int = 4) -> DataFrame:
     spark = rows.sparkSession
     files = rows.inputFiles()
     path, state, out = files[0].rpartition("/")[0], scratch(spark, "state"), scratch(spark, "groups")
-    with settings(spark, STATE):
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(8, rows.count() // STATE_ROWS))
+    with settings(spark, STATE | {"spark.sql.shuffle.partitions": str(partitions)}):
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-len(files) // batches))).parquet(path)
         retain(stream, state, out)
     # a group that changed again stands in several batches; its keeper and size only grow

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import on_workers, written
+from palimpsest.llm.common import drop_written, on_workers, written
 from palimpsest.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -377,5 +377,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = W
     counts = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = nodes.join(roots, "node", "left").join(counts, "node", "left")
     placed = written(placed.select("row_id", "doc_id", "key", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "placed")
+    drop_written(rows, keys, nodes, several, shingled)  # only `placed` is read from here on
     groups = placed.groupBy("root").agg(F.min(F.struct("doc_id", "row_id")).alias("keeper"), F.count("*").alias("class_size"))
     return placed.join(groups, "root").select("doc_id", F.col("keeper.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row_id") == F.col("keeper.row_id")).alias("kept"), *([F.col("key").alias(key)] if key else []))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
+from inspect import isgeneratorfunction
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +35,49 @@ def on_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+#: What a Python worker keeps from task to task, by name.
+KEPT: dict[str, object] = {}
+
+
+def forget() -> None:
+    """Drop the tables that this worker keeps for other operators."""
+    KEPT.clear()
+
+
+def give_back() -> None:
+    """Let go of freed memory that the C library still holds for this process."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function for Arrow batches or groups, for operators that keep no tables: its
+    worker drops those of others before it, and gives freed memory back after it."""
+    if isgeneratorfunction(run):
+
+        @wraps(run)
+        def task(batches: Iterator):
+            forget()
+            try:
+                yield from run(batches)
+            finally:
+                give_back()
+
+    else:
+
+        @wraps(run)
+        def task(table):
+            forget()
+            try:
+                return run(table)
+            finally:
+                give_back()
+
+    return task
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
     temporary one where that is unset (tests on one machine)."""

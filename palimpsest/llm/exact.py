@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.llm.common import keyed, on_workers, scratch, written
+from palimpsest.llm.common import keyed, lean, on_workers, scratch, written
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -70,7 +70,7 @@ def digests(docs: DataFrame, digest_bytes: int = 32, key: str | None = None) ->
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "text_sha256", "n_bytes", "place", "row_id"])
 
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(key).cast("string") if key else locator(docs)).alias("place"), (F.col(key) if key else F.lit(None)).cast("long").alias("row_id"))
-    x = x.mapInArrow(run, "doc_id long, digest binary, text_sha256 string, n_bytes long, place string, row_id long")
+    x = x.mapInArrow(lean(run), "doc_id long, digest binary, text_sha256 string, n_bytes long, place string, row_id long")
     return x if key else x.withColumn("row_id", F.monotonically_increasing_id())
 
 

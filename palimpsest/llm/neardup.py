@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import drop_written, on_workers, written
+from palimpsest.llm.common import drop_written, lean, on_workers, written
 from palimpsest.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -161,7 +161,7 @@ def features(docs: DataFrame, size: int = WORDS, key: str | None = None) -> tupl
 
     text = F.coalesce(F.col("text"), F.lit(""))
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"), (F.col(key) if key else F.lit(None)).cast("long").alias("key"))
-    x = written(x.mapInArrow(run, "doc_id long, digest string, shingles binary, slice int, counts binary, key long").withColumn("row_id", F.monotonically_increasing_id()), "shingles")
+    x = written(x.mapInArrow(lean(run), "doc_id long, digest string, shingles binary, slice int, counts binary, key long").withColumn("row_id", F.monotonically_increasing_id()), "shingles")
     rows = x.filter("slice is null").select("row_id", "doc_id", "digest", "shingles", "key")
     return rows, summed(x.filter("slice is not null").select("slice", "counts", "row_id")), rows.count()
 
@@ -176,7 +176,7 @@ def summed(parts: DataFrame, fan: int = 32) -> np.ndarray:
     n = parts.count() // (TABLE // SLICE)
     while n > 1:
         n = -(-n // fan)
-        parts = parts.withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(n))).groupBy("slice", "part").applyInArrow(add, "slice int, counts binary, row_id long")
+        parts = parts.withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(n))).groupBy("slice", "part").applyInArrow(lean(add), "slice int, counts binary, row_id long")
         parts = written(parts, "frequencies")
     rows = {r.slice: np.frombuffer(r.counts, "<i8") for r in parts.select("slice", "counts").collect()}  # one table of fixed size
     return np.concatenate([rows.get(i, np.zeros(SLICE, np.int64)) for i in range(TABLE // SLICE)])
@@ -192,7 +192,7 @@ def banded(rows: DataFrame, idf, bands: int, per_band: int) -> DataFrame:
             keys = [sampler.keys(*x).tolist() if len(x[0]) else [] for x in each]
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("digest"), pa.array(keys, pa.list_(pa.int64()))], ["row_id", "digest", "buckets"])
 
-    return rows.select("row_id", "digest", "shingles").mapInArrow(run, "row_id long, digest string, buckets array<long>")
+    return rows.select("row_id", "digest", "shingles").mapInArrow(lean(run), "row_id long, digest string, buckets array<long>")
 
 
 def verified(pairs: DataFrame, shingled: DataFrame, idf) -> DataFrame:
@@ -214,7 +214,7 @@ def verified(pairs: DataFrame, shingled: DataFrame, idf) -> DataFrame:
 
     x = pairs.join(shingled.select(F.col("row_id").alias("b"), F.col("shingles").alias("right")), "b")
     x = x.join(shingled.select(F.col("row_id").alias("a"), F.col("shingles").alias("left")), "a")
-    return x.select("a", "b", "left", "right").mapInArrow(run, "a long, b long, sim double")
+    return x.select("a", "b", "left", "right").mapInArrow(lean(run), "a long, b long, sim double")
 
 
 def crowded(members: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def sketched(shingled: DataFrame, idf) -> DataFrame:
                 slices.append(sliced(hashes, weights).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("buckets"), pa.array(mass, pa.float64()), pa.array(slices, pa.binary())], ["row_id", "buckets", "mass", "slices"])
 
-    return shingled.select("row_id", "buckets", "shingles").mapInArrow(run, "row_id long, buckets array<long>, mass double, slices binary")
+    return shingled.select("row_id", "buckets", "shingles").mapInArrow(lean(run), "row_id long, buckets array<long>, mass double, slices binary")
 
 
 def compared(block: pa.Table, done: int, drawn: int | None, threshold: float) -> list[tuple[int, int]]:
@@ -300,7 +300,7 @@ def candidates(active: DataFrame, sketches: DataFrame, done: int, drawn: int | N
         if held and held.num_rows > 1:
             yield pairs(compared(held, done, drawn, threshold))
 
-    return x.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return x.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def groups_of(*keys: np.ndarray) -> np.ndarray:

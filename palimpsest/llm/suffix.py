@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import longs, on_workers, scratch, shuffles_dropped, written
+from palimpsest.llm.common import lean, longs, on_workers, scratch, shuffles_dropped, written
 
 LENGTH, KGRAM = 100, 36
 #: Bytes of text that are looked at together, and of a batch.
@@ -325,7 +325,7 @@ def fingerprints(texts: DataFrame, partitions: int, length: int) -> DataFrame:
             out = [(batch.slot, batch.seq, p, k.tobytes(), m.tobytes()) for p, (k, m) in per_part(dealt(keys, partitions), partitions, keys, more).items()]
             yield rows_of(kinds, out or [(batch.slot, batch.seq, 0, b"", b"")])
 
-    return texts.mapInArrow(run, "slot long, seq long, part int, keys binary, more binary")
+    return texts.mapInArrow(lean(run), "slot long, seq long, part int, keys binary, more binary")
 
 
 def occurring_again(prints: DataFrame, partitions: int, hot: int) -> DataFrame:
@@ -349,7 +349,7 @@ def occurring_again(prints: DataFrame, partitions: int, hot: int) -> DataFrame:
         out = [[x[among(x, np.asarray(chosen, np.uint64))].tobytes() for x in keys] for chosen in (again, others)]
         return pa.table({"slot": table.column("slot"), "seq": table.column("seq"), **{c: pa.array(x, pa.binary()) for c, x in zip(("again", "hot"), out)}})
 
-    return by_slot(to_parts(prints, partitions).applyInArrow(run, "slot long, seq long, again binary, hot binary"), F.struct("again", "hot"))
+    return by_slot(to_parts(prints, partitions).applyInArrow(lean(run), "slot long, seq long, again binary, hot binary"), F.struct("again", "hot"))
 
 
 def to_parts(rows: DataFrame, partitions: int):
@@ -410,7 +410,7 @@ def suffix_arrays(texts: DataFrame, partitions: int, length: int, every: bool) -
                 out.append((batch.slot, batch.seq, p, *columns, None))
             yield rows_of(PASSAGES, out)
 
-    return texts.mapInArrow(run, "slot long, seq long, part int, passages binary, passages_at binary, windows binary, windows_at binary, gone binary")
+    return texts.mapInArrow(lean(run), "slot long, seq long, part int, passages binary, passages_at binary, windows binary, windows_at binary, gone binary")
 
 
 def runs_bytes(starts: np.ndarray, counts: np.ndarray) -> bytes:
@@ -466,7 +466,7 @@ def repeated(arrays: DataFrame, partitions: int, length: int, keep: bool) -> Dat
             out += [(None, i, None, part, x.tobytes()) for i, x in enumerate(levels)]
         return pa.Table.from_batches([rows_of(FOUND, out)]) if out else pa.table({c: pa.array([], t) for c, t in FOUND.items()})
 
-    return to_parts(arrays, partitions).applyInArrow(run, "slot long, seq long, runs binary, part int, level binary")
+    return to_parts(arrays, partitions).applyInArrow(lean(run), "slot long, seq long, runs binary, part int, level binary")
 
 
 FOUND = {"slot": pa.int64(), "seq": pa.int64(), "runs": pa.binary(), "part": pa.int32(), "level": pa.binary()}
@@ -516,7 +516,7 @@ def cleaned(told: DataFrame, length: int) -> DataFrame:
             out.append((None if doc == NULL_ID else doc, b - a, removed, spans, left, row))
         return rows_of({"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "spans": span, "kept": pa.binary(), "row_key": pa.int64()}, out)
 
-    return told.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, row_key long")
+    return told.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, row_key long")
 
 
 def text_of_bytes(column: str) -> Column:

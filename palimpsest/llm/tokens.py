@@ -16,6 +16,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from palimpsest.llm.common import KEPT
+
 #: Unicode White_Space without the four separators U+001C-1F that only Python counts.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CUTS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -24,8 +26,6 @@ PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*]*)")
 #: A text with one of these is cut by CUTS; others at their spaces and line ends, which is faster.
 ODD = ("  ", " \n", "\n ", "\n\n\n", "\t", "\r", "\x00", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "<|")
 
-_encoders: dict[str, "Encoder"] = {}
-
 
 def byte_chars() -> dict[str, int]:
     """The byte of each character that byte-level vocabularies write for it:
@@ -165,6 +165,6 @@ class Encoder(dict):
 
 def encoder(path: str) -> Encoder:
     """One for each file in a Python worker; workers are reused by later tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if path not in KEPT:
+        KEPT[path] = Encoder(path)
+    return KEPT[path]

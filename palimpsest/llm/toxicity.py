@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import on_workers
+from palimpsest.llm.common import lean, on_workers
 
 #: Labelled documents of each class that the model is fitted on, at most.
 TRAIN_DOCS = 1200
@@ -280,7 +280,7 @@ def score(docs: DataFrame, model: Field, threshold: float = THRESHOLD) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(points, pa.float64()), pa.array([int(x >= threshold) for x in points], pa.int32()), pa.array(spans, kind)], ["doc_id", "score", "predicted", "spans"])
 
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return x.mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
+    return x.mapInArrow(lean(run), "doc_id long, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
 
 
 def keep(docs: DataFrame, model: Field, threshold: float = THRESHOLD) -> DataFrame:
@@ -296,4 +296,4 @@ def keep(docs: DataFrame, model: Field, threshold: float = THRESHOLD) -> DataFra
             points = [told.value.score(cache, x or "") for x in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([p < threshold for p in points], pa.bool_()))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return docs.select(*names).mapInArrow(lean(run), docs.schema)

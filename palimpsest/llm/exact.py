@@ -27,6 +27,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",  # of an executor; the state is on disk
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no preallocated logs
+    "spark.sql.streaming.stateStore.maintenanceInterval": "15s",  # executors close the stores of an ended query then
 }
 #: Rows for each partition of the state, about, so that an executor doesn't hold many small stores.
 STATE_ROWS = 20_000

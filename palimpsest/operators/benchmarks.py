@@ -6,37 +6,45 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from palimpsest.operators import ranks
 
 # How much worse a candidate may be, as a share of the baseline.
 ERROR_LIMIT, TIME_LIMIT = 0.01, 0.20
 
 
 def nearest_rank(value: str, fraction: float) -> Column:
-    """The value at rank ceil(p * n), at least 1, without interpolation."""
+    """The value at rank ceil(p * n), at least 1, without interpolation; an aggregate
+    for groups of few distinct values. ranks.at_ranks takes groups of any size."""
     return F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {value})")
 
 
 def round_index(value: Column, fraction: float) -> Column:
-    """The value at index round((n - 1) * p), halves to even; differs from the above."""
+    """The value at index round((n - 1) * p), halves to even; differs from the above.
+    For groups that fit in one row; ranks.at_ranks takes groups of any size."""
     sorted_ = F.array_sort(F.collect_list(value))
     return F.get(sorted_, F.rint((F.size(sorted_) - 1) * fraction).cast("int"))
 
 
 def confidence(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), nearest_rank(value, 0.5).alias("median"), nearest_rank(value, 0.1).alias("p10"), F.min(value).alias("min"), F.count(value).alias("n"))
+    """Mean, median, p10, least value and number of values of each group."""
+    x = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.count(value).alias("n"))
+    found = ranks.at_ranks(df, keys, value, {"median": ranks.nearest_rank(0.5), "p10": ranks.nearest_rank(0.1)})
+    return ranks.same_group(x, found, keys, "left").select(*keys, "mean", "median", "p10", "min", "n")
 
 
 def summary(df: DataFrame, keys: Sequence[str], error: str, seconds: str) -> DataFrame:
-    return df.groupBy(*keys).agg(
+    """Eight measures of each group of records."""
+    x = df.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.count_if(F.col(error) == 0).alias("exact"),
         F.round(F.avg(error), 6).alias("mean_error"),
-        F.round(F.expr(f"median({error})"), 6).alias("median_error"),
         F.max(error).alias("max_error"),
         F.round(F.avg(seconds), 6).alias("mean_seconds"),
-        nearest_rank(seconds, 0.95).alias("p95_seconds"),
     )
+    x = ranks.same_group(x, ranks.median(df, keys, error, "_m"), keys, "left")
+    x = ranks.same_group(x, ranks.at_rank(df, keys, seconds, ranks.nearest_rank(0.95), "p95_seconds"), keys, "left")
+    return x.select(*keys, "n", "exact", "mean_error", F.round("_m", 6).alias("median_error"), "max_error", "mean_seconds", "p95_seconds")
 
 
 def memberships(dataset: Column, tags: Column) -> Column:
@@ -45,12 +53,8 @@ def memberships(dataset: Column, tags: Column) -> Column:
 
 
 def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
-    """The first value at which the weights up to it reach half. Weights are summed
-    for each value before the window, which is then over distinct values only."""
-    x = df.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    upto = F.sum("_w").over(Window.partitionBy(*keys).orderBy(value))
-    total = F.sum("_w").over(Window.partitionBy(*keys))
-    return x.withColumn("_u", upto).withColumn("_t", total).filter(F.col("_u") * 2 >= F.col("_t")).groupBy(*keys).agg(F.min(value).alias("weighted_median"))
+    """The first value at which the weights up to it reach half."""
+    return ranks.at_ranks(df, keys, value, {"weighted_median": lambda total: total / 2}, weight)
 
 
 def weighted_fit(df: DataFrame, keys: Sequence[str], x: Column, y: Column, w: Column) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def pending(queued: DataFrame, done: DataFrame, failed: DataFrame, key: str = "file") -> DataFrame:
@@ -37,17 +39,28 @@ def better(first, second, text: str = "text", score: str = "score"):
 
 
 def changed(events: DataFrame, key: str, by: str, value: str, least: float) -> DataFrame:
-    """Progress events worth telling: a change that reaches an end (0 or 1) or is at
-    least `least` away from the last one told. One fold over a key's events."""
-    item = F.struct(F.col(by).alias("t"), F.col(value).cast("double").alias("v"))
-    zero = F.expr("named_struct('last', cast(null as double), 'out', cast(array() as array<struct<t:bigint,v:double>>))")
-
-    def step(s, e):
-        tell = s["last"].isNull() | ((e["v"] != s["last"]) & (e["v"].isin(0.0, 1.0) | (F.abs(e["v"] - s["last"]) >= least)))
-        return F.struct(F.when(tell, e["v"]).otherwise(s["last"]).alias("last"), F.when(tell, F.concat(s["out"], F.array(F.struct(e["t"].alias("t"), e["v"].alias("v"))))).otherwise(s["out"]).alias("out"))
-
-    x = events.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("es"))
-    return x.select(key, F.explode(F.aggregate("es", zero, step, lambda s: s["out"])).alias("e")).select(key, F.col("e.t").alias(by), F.col("e.v").alias(value))
+    """Progress events worth telling: the first of a key, and each change that reaches
+    an end (0 or 1) or is at least `least` away from the last one told. Events stream
+    through a task in the order of their key, `by` (nulls last) and value; the value told
+    last is all that is kept of a key. A null or
+    NaN value (null in the result) is told only while nothing else was."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last = object(), None
+        for batch in batches:
+            tell = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if k != of:
+                    of, last = k, None
+                far = last is None or (v is not None and v != last and (v in (0.0, 1.0) or not abs(v - last) < least))
+                if far:
+                    last = v
+                tell.append(far)
+            yield batch.filter(pa.array(tell, pa.bool_()))
+
+    x = events.select(key, F.col(by).cast("bigint").alias(by), F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias(value))
+    x = x.repartition(key).sortWithinPartitions(F.asc(key), F.asc_nulls_last(by), F.asc_nulls_last(value))
+    return x.mapInArrow(told, x.schema)
 
 
 def batch_stats(pairs: DataFrame, before: str, after: str) -> DataFrame:

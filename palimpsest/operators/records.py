@@ -6,14 +6,14 @@ no group's values are gathered in one row."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from palimpsest.operators.benchmarks import worsening
+from palimpsest.operators.ranks import at_rank, median, nearest_rank, rounded_index, same_group
 
 # The identity of a record, the measures it needs, and how much worse each may get.
 IDENTITY = ("benchmark_profile", "dataset", "id", "page_index", "run_index")
@@ -22,28 +22,6 @@ POSITIVE = ("end_to_end_seconds", "peak_rss_mb")
 WORSE_LIMITS = {"char_error_rate": 0.01, "word_error_rate": 0.01, "end_to_end_seconds": 0.20, "peak_rss_mb": 0.20}
 
 
-def at_rank(df: DataFrame, keys: Sequence[str], value: str, rank: Callable[[Column], Column], name: str) -> DataFrame:
-    """The value at a rank from 1 among a group's values that aren't null; rank: of their number."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value))
-    total = F.sum("_n").over(Window.partitionBy(*keys))
-    return counts.select(*keys, value, upto.alias("_u"), total.alias("_t")).filter(F.col("_u") >= rank(F.col("_t"))).groupBy(*keys).agg(F.min(value).alias(name))
-
-
-def nearest_rank(fraction: float) -> Callable[[Column], Column]:
-    return lambda n: F.greatest(F.lit(1), F.ceil(n * fraction))
-
-
-def rounded_index(fraction: float) -> Callable[[Column], Column]:
-    """The index round((n - 1) * p), halves to even."""
-    return lambda n: F.rint((n - 1) * fraction) + 1
-
-
-def median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    low, high = at_rank(df, keys, value, lambda n: F.floor((n + 1) / 2), "_low"), at_rank(df, keys, value, lambda n: F.floor(n / 2) + 1, "_high")
-    return low.join(high, list(keys)).select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias(name))
-
-
 def percent(part: Column, total: Column) -> Column:
     return F.when(total > 0, part / total * 100.0).otherwise(0.0)
 
@@ -65,7 +43,7 @@ def truthy(text: Column) -> Column:
 
 
 def with_columns(base: DataFrame, keys: Sequence[str], more: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.join(b, list(keys), "left"), more, base)
+    return reduce(lambda a, b: same_group(a, b, keys, "left"), more, base)
 
 
 def summary(records: DataFrame, keys: Sequence[str]) -> DataFrame:

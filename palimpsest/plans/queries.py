@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from palimpsest.functions import text as T
 from palimpsest.functions.geometry import Box
-from palimpsest.operators import benchmarks, jobs, layout, pages, spatial
+from palimpsest.operators import benchmarks, jobs, layout, pages, ranks, spatial
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -252,7 +252,7 @@ def p95_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH v AS (SELECT l_suppkey, list_sort(list(l_quantity)) AS q FROM lineitem GROUP BY 1)
 SELECT l_suppkey, q[CAST(round_even((len(q) - 1) * 0.95, 0) AS INTEGER) + 1] AS p95 FROM v""")
 def p95_round_index(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(benchmarks.round_index(F.col("l_quantity"), 0.95).alias("p95"))
+    return ranks.at_rank(table(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", ranks.rounded_index(0.95), "p95")
 
 
 @query("""WITH s AS (SELECT l_returnflag, l_partkey, sum(CAST(l_quantity AS BIGINT)) AS w FROM lineitem GROUP BY 1, 2),
@@ -409,7 +409,11 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
 
     from palimpsest.streaming import ingest
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="spark-stream-")
     place = f"{shared.rstrip('/')}/ingest-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     folder = f"{d}/events.parque[t]"  # a pattern, as the table may be one file or a folder of files

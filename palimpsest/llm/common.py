@@ -80,9 +80,11 @@ def lean(run: Callable) -> Callable:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where that is unset (tests on one machine)."""
+    temporary one where that is unset and the session runs on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-palimpsest-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import lean, on_workers
 
 #: Labelled documents of each class that the model is fitted on, at most.
-TRAIN_DOCS = 1200
+TRAIN_DOCS = 2000
 #: Features at most, and the lengths of word beginnings.
 FEATURES, PREFIXES = 2000, (4, 5, 6, 7, 8)
 THRESHOLD = 0.3

@@ -1,4 +1,4 @@
-"""The queries of the ten operators: opN_<name>(spark, sf_dir) over whole tables."""
+"""The queries of the operators: opN_<name>(spark, sf_dir) over whole tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, exact, neardup, packing, quality, sharding, suffix, tokenfiles, topk, toxicity
+from palimpsest.llm import bpe, exact, lexical, neardup, packing, quality, sharding, suffix, tokenfiles, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 OP10_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -94,9 +98,40 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS place, doc_id, {TERMS} AS terms FROM documents
+), t AS (
+  SELECT place, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM d
+), tf AS (
+  SELECT place, doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL
+), totals AS (
+  SELECT CAST(count(*) FILTER (len(terms) > 0) AS BIGINT) AS n_docs, CAST(coalesce(sum(len(terms)), 0) AS BIGINT) AS n_terms FROM d
+), df AS (
+  SELECT term, count(*) AS df FROM tf GROUP BY term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, totals
+), i AS (
+  SELECT item, item_id, term, count(*) AS times
+  FROM (SELECT row_number() OVER () AS item, item_id, unnest({TERMS}) AS term FROM benchmark)
+  GROUP BY ALL
+), s AS (
+  SELECT item, item_id, place, doc_id,
+         CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM i JOIN w USING (term) JOIN tf USING (term), totals
+  GROUP BY ALL
+), r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, place) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_bpe, op3_near_dedup, op4_quality, op5_toxicity, op6_sharding, op7_top_k, op8_token_files, op9_suffix_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_bpe, op3_near_dedup, op4_quality, op5_toxicity, op6_sharding, op7_top_k, op8_token_files, op9_suffix_dedup, op10_exact_dedup, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_top_k": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op7_top_k": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op13_lexical_search": OP13_SQL}

@@ -166,3 +166,19 @@ def with_range(df: DataFrame, key: str, ranges: int, name: str = "range_id") ->
     cuts = sorted({int(x) for x in cuts if x is not None})
     array = longs(cuts)
     return df.withColumn(name, range_of(len(cuts), lambda i: F.get(array, i) <= F.col(key))), len(cuts) + 1
+
+
+#: A key is frequent beyond this part of the rows, and beyond so many of them.
+OFTEN_PART, OFTEN_ROWS = 1024, 2000
+
+
+def joined_evenly(rows: DataFrame, unique: DataFrame, key: str) -> DataFrame:
+    """rows (a written table) with the one row of `unique` that has their key. Rows of
+    frequent keys stay where they are: there are at most 1024 such keys, whose rows of
+    `unique` are broadcast; the others meet in a shuffle."""
+    often = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > max(OFTEN_ROWS, rows.count() // OFTEN_PART)).select(key)
+    often = written(often, "frequent")
+    if often.isEmpty():
+        return rows.join(unique, key)
+    hot = F.broadcast(often)
+    return rows.join(hot, key, "left_semi").join(F.broadcast(unique.join(hot, key, "left_semi")), key).unionByName(rows.join(hot, key, "left_anti").join(unique, key))

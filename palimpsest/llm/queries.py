@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, exact, lexical, neardup, packing, quality, sharding, suffix, tokenfiles, topk, toxicity
+from palimpsest.llm import bpe, chat, exact, lexical, neardup, packing, quality, sharding, suffix, tokenfiles, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(more, "conv_id long, turn long, role string, text string"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    stream, members = chat.format_chats(rows, path)
+    return chat.read_back(stream, members, path)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
@@ -98,6 +107,27 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+OP12_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), f AS (
+  SELECT *,
+         CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+              ELSE 19 + length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS\]|/?ROLE\]|TEXT\]|\|endoftext\|>)', '\1\2\\\3', 'g')) END AS marks,
+         length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS\]|/?ROLE\]|TEXT\]|\|endoftext\|>)', '\1\2\\\3', 'g')) AS body
+  FROM rows
+)
+SELECT conv_id,
+       count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(marks + body) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
 TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 OP13_SQL = f"""
@@ -130,8 +160,8 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_bpe, op3_near_dedup, op4_quality, op5_toxicity, op6_sharding, op7_top_k, op8_token_files, op9_suffix_dedup, op10_exact_dedup, op13_lexical_search)}
+    return {f.__name__: f for f in (op1_packing, op2_bpe, op3_near_dedup, op4_quality, op5_toxicity, op6_sharding, op7_top_k, op8_token_files, op9_suffix_dedup, op10_exact_dedup, op12_chat_format, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_top_k": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op13_lexical_search": OP13_SQL}
+    return {"op7_top_k": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op12_chat_format": OP12_SQL, "op13_lexical_search": OP13_SQL}

@@ -168,3 +168,19 @@ def encoder(path: str) -> Encoder:
     if path not in KEPT:
         KEPT[path] = Encoder(path)
     return KEPT[path]
+
+
+def byte_table(path: str) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary; an added token stands for its text."""
+    name = f"{path} bytes"
+    if name not in KEPT:
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        byte, vocab = byte_chars(), whole["model"]["vocab"]
+        added = {x["id"]: x["content"].encode() for x in whole.get("added_tokens", [])}
+        KEPT[name] = [b""] * (max([*vocab.values(), *added]) + 1)
+        for x, i in vocab.items():
+            KEPT[name][i] = added.get(i) or bytes(byte[c] for c in x)
+        for i, x in added.items():
+            KEPT[name][i] = x
+    return KEPT[name]

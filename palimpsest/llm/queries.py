@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, chat, exact, lexical, neardup, packing, quality, sharding, suffix, tokenfiles, topk, toxicity
+from palimpsest.llm import bpe, chat, exact, lexical, neardup, packing, quality, sharding, suffix, tokenfiles, topk, toxicity, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
@@ -160,7 +164,7 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_bpe, op3_near_dedup, op4_quality, op5_toxicity, op6_sharding, op7_top_k, op8_token_files, op9_suffix_dedup, op10_exact_dedup, op12_chat_format, op13_lexical_search)}
+    return {f.__name__: f for f in (op1_packing, op2_bpe, op3_near_dedup, op4_quality, op5_toxicity, op6_sharding, op7_top_k, op8_token_files, op9_suffix_dedup, op10_exact_dedup, op11_spelling_variants, op12_chat_format, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:

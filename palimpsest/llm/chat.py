@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import joined_evenly, lean, on_workers, written
+from palimpsest.llm.common import joined_evenly, lean, merged, on_workers, written
 from palimpsest.llm.tokens import byte_table, encoder
 
 #: The marks around a turn's text by role; other roles stand between [ROLE] and [TEXT].
@@ -250,4 +250,4 @@ def read_back(stream: DataFrame, members: DataFrame, tokenizer: str) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out) if out else [()] * 6, kinds)], ["path", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     read = in_order(stream.select("range", "nth", "depth", "ids", "loss_start", "loss_stop", "path")).mapInArrow(run, "path string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    return joined_evenly(members, written(read, "read-back"), "path").drop("path")
+    return merged(joined_evenly(members, written(read, "read-back"), "path").drop("path"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.llm.common import keyed, lean, on_workers, scratch, written
+from palimpsest.llm.common import CORE_PARTS, keyed, lean, on_workers, scratch, written
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -87,14 +87,15 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def retain(stream: DataFrame, checkpoint: str, out: str) -> None:
+def retain(stream: DataFrame, checkpoint: str, out: str, files: int = 1 << 20) -> None:
     """Run what the stream has now through the keyed state at `checkpoint`. A later
-    call with the same checkpoint goes on from there. Changed groups go to `out`."""
+    call with the same checkpoint goes on from there. Changed groups go to `out`, in at
+    most so many files for each batch."""
     row = F.struct("doc_id", "row_id", "place", "n_bytes")
     groups = stream.groupBy("digest").agg(F.max(row).alias("keeper"), F.count("*").alias("group_size"))
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.coalesce(files).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = groups.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
     query.awaitTermination()
@@ -106,9 +107,10 @@ def groups_of(rows: DataFrame, batches: int = 4) -> DataFrame:
     files = rows.inputFiles()
     path, state, out = files[0].rpartition("/")[0], scratch(spark, "state"), scratch(spark, "groups")
     partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(8, rows.count() // STATE_ROWS))
+    written_files = max(CORE_PARTS * spark.sparkContext.defaultParallelism, len(files))
     with settings(spark, STATE | {"spark.sql.shuffle.partitions": str(partitions)}):
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-len(files) // batches))).parquet(path)
-        retain(stream, state, out)
+        retain(stream, state, out, written_files)
     # a group that changed again stands in several batches; its keeper and size only grow
     seen = spark.read.parquet(out).groupBy("digest").agg(F.max("keeper").alias("keeper"), F.max("group_size").alias("group_size"))
     return seen.select("digest", F.col("keeper.row_id").alias("keep_row"), F.col("keeper.doc_id").alias("keep_id"), "group_size")

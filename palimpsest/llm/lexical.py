@@ -22,7 +22,6 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -148,20 +147,21 @@ def index(docs: DataFrame, n_docs: int, n_terms: int, shard_docs: int = SHARD_DO
     for the N and L given: a table that grows by much is indexed anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        shard, ids, texts, size = 0, [], [], 0
         for batch in batches:
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())):
+            for row, i, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())):
+                shard = shard if ids else row  # named by its first row
                 ids.append(i)
                 texts.append(text.as_py())
                 size += len(texts[-1])
                 if len(ids) >= shard_docs or size >= SHARD_BYTES:
                     yield from shard_rows(shard, ids, texts, n_docs, n_terms)
-                    shard, ids, texts, size = shard + 1, [], [], 0
+                    ids, texts, size = [], [], 0
         if ids:
             yield from shard_rows(shard, ids, texts, n_docs, n_terms)
 
     on_workers(docs.sparkSession)
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    x = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return written(x.mapInArrow(lean(run), INDEX), "lexical-index")
 
 

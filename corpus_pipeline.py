@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import exact, neardup, packing, suffix, toxicity
-from palimpsest.llm.common import keyed, written
+from palimpsest.llm.common import keyed, merged, written
 
 #: The column of row keys within a stage.
 ROW = "_row"
@@ -20,21 +20,21 @@ ROW = "_row"
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
     model = toxicity.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.keep(docs, model)
+    return merged(toxicity.keep(docs, model))
 
 
 def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest doc_id."""
     x = keyed(docs, ROW)
     chosen = exact.exact_dedup(x, key=ROW).filter("kept").select(ROW)
-    return x.join(chosen, ROW, "left_semi").select(*docs.columns)
+    return merged(x.join(chosen, ROW, "left_semi").select(*docs.columns))
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
     x = keyed(docs, ROW)
     chosen = neardup.near_duplicates(x, key=ROW).filter("kept").select(ROW)
-    return x.join(chosen, ROW, "left_semi").select(*docs.columns)
+    return merged(x.join(chosen, ROW, "left_semi").select(*docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +43,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     x = keyed(docs, ROW)
     left = suffix.remove_repeats(x, length=100, key=ROW).filter("n_removed > 0").select(ROW, suffix.text_of_bytes("kept").alias("_left"))
     x = x.join(left, ROW, "left")
-    return x.select(*(F.coalesce("_left", "text").alias("text") if c == "text" else F.when(F.col("_left").isNull(), F.col(c)).otherwise(F.length("_left")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return merged(x.select(*(F.coalesce("_left", "text").alias("text") if c == "text" else F.when(F.col("_left").isNull(), F.col(c)).otherwise(F.length("_left")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns)))
 
 
 def pack_all(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents' pieces in sequences of 1024 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, length=1024)
+    return merged(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, length=1024))
 
 
 STAGES = [

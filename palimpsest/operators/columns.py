@@ -69,9 +69,10 @@ def page_columns(words: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def in_columns(words: DataFrame, columns: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Words with their column, 0 or 1, by their middle; pages of one column have 0."""
+    """Words with their column: 0 up to the split, which counts to it, else 1, by their left
+    edge; pages of one column have 0."""
     x = words.join(columns.select(*keys, "split_x"), list(keys), "left")
-    return x.withColumn("column", F.when(F.col("x") + F.col("w") / 2 >= F.col("split_x"), 1).otherwise(0)).drop("split_x")
+    return x.withColumn("column", F.when(F.col("x") > F.col("split_x"), 1).otherwise(0)).drop("split_x")
 
 
 def text_lines(words: DataFrame, keys: Sequence[str], tie: str = "word") -> DataFrame:

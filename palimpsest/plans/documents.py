@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palimpsest.functions import document as D
-from palimpsest.operators import columns, export, records, sessions
+from palimpsest.operators import columns, elements, export, records, regions, sessions
 from palimpsest.plans.queries import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,23 +261,100 @@ def gate_verdict(spark: SparkSession, d: str) -> DataFrame:
     return records.verdict(records.compared(*two_runs(spark, d)))
 
 
-def elements(spark: SparkSession, d: str) -> DataFrame:
-    """Elements of documents: a line each, twenty lines a page; lines with bars are tables of one row, so that all emitters run."""
-    line = F.col("line")
-    x = lines(spark, d).filter(F.length(D.stripped(line)) > 0)
-    kind = F.when(line.contains("|"), "table").otherwise(D.paragraph_kind(line, line.startswith("  ")))
-    cells = F.when(line.contains("|"), F.array(F.split(line, r"\|"))).otherwise(F.array().cast("array<array<string>>"))
-    return x.select(F.col("doc_id").alias("doc"), F.floor(F.col("nth") / 20).cast("int").alias("page"), F.col("nth").alias("seq"), kind.alias("kind"), line.alias("text"), F.array().cast("array<string>").alias("raw_lines"), cells.alias("cells"), F.lit(0).alias("indent"))
+def text_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Documents set in type, 45 lines a page: doc, page, at (line of the page), c (column of
+    the page), x and words of each line, gap between words. A paragraph is a line of the text
+    and an empty line follows it; lines hold 12 words. Every fourth paragraph is set with wide
+    gaps, some begin or stand indented, and every tenth document has two columns with lines
+    of 6 words."""
+    paragraph = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("p", "_line")
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), paragraph)
+    x = x.withColumn("words", F.filter(F.split("_line", " "), lambda t: t != ""))
+    two = F.col("doc") % 10 == 0
+    x = x.withColumns({"_wrap": F.when(two, 6).otherwise(12), "_two": two})
+    x = x.withColumn("_rows", F.ceil(F.size("words") / F.col("_wrap")).cast("int") + 1)
+    before = Window.partitionBy("doc").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_row", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    row = F.transform(F.sequence(F.lit(0), F.col("_rows") - 2), lambda r: F.slice("words", r * F.col("_wrap") + 1, F.col("_wrap")))
+    x = x.filter(F.size("words") > 0).select("doc", "p", "_two", "_row", F.posexplode(row).alias("r", "words"))
+    p, at = F.col("p"), F.col("_row") + F.col("r")
+    shift = F.when((p % 5 == 2) & (F.col("r") == 0), 30).when(p % 7 == 3, 100).otherwise(0)
+    place = F.when(F.col("_two"), F.floor(at / 90)).otherwise(F.floor(at / 45)).cast("int")
+    column = F.when(F.col("_two"), F.floor(at % 90 / 45)).otherwise(0).cast("int")
+    return x.select("doc", place.alias("page"), (at % 45).cast("int").alias("at"), column.alias("c"), (column * 560 + shift).alias("x"), F.when(p % 4 == 1, 46).otherwise(6).alias("gap"), "words")
+
+
+def text_words(spark: SparkSession, d: str) -> DataFrame:
+    """The words of those lines with boxes."""
+    left = F.transform("words", lambda _, k: F.col("x") + F.aggregate(F.slice("words", 1, k), F.lit(0), lambda s, v: s + F.length(v) * 6) + k * F.col("gap"))
+    x = text_rows(spark, d).select("doc", "page", "at", "c", F.posexplode(F.arrays_zip(left.alias("x"), F.col("words").alias("text"))).alias("k", "v"))
+    return x.select("doc", "page", ((F.col("c") * 45 + F.col("at")) * 100 + F.col("k")).cast("long").alias("word"), F.col("v.x").cast("double").alias("x"), (F.col("at") * 14 + F.col("k") % 3).cast("double").alias("y"), (F.length("v.text") * 6).cast("double").alias("w"), F.lit(10.0).alias("h"), F.col("v.text").alias("text"))
+
+
+def text_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Recognised regions of those pages: whole lines, or words where gaps are wide."""
+    wide = F.col("gap") > 6
+    parts = F.when(wide, F.col("words")).otherwise(F.array(F.array_join("words", " ")))
+    x = text_rows(spark, d).select("doc", "page", "at", "c", "x", "gap", parts.alias("parts"))
+    left = F.transform("parts", lambda _, k: F.col("x") + F.aggregate(F.slice("parts", 1, k), F.lit(0), lambda s, v: s + F.length(v) * 6) + k * F.col("gap"))
+    x = x.select("doc", "page", "at", "c", F.posexplode(F.arrays_zip(left.alias("x"), F.col("parts").alias("text"))).alias("k", "v"))
+    y, k = F.col("at") * 14, F.col("k")
+    return x.select("doc", "page", ((F.col("c") * 45 + F.col("at")) * 100 + k).cast("long").alias("region"), F.col("v.x").cast("double").alias("x0"), (y + k % 3).cast("double").alias("y0"), (F.col("v.x") + F.length("v.text") * 6).cast("double").alias("x1"), (y + 12 + (F.col("at") + k) % 5).cast("double").alias("y1"), F.col("v.text").alias("text"))
+
+
+def text_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of those documents: up to the last line, blank ones too."""
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.split(F.coalesce("text", F.lit("")), "\n").alias("_lines"))
+    wrap, rows = F.when(F.col("doc") % 10 == 0, 6).otherwise(12), F.when(F.col("doc") % 10 == 0, 90).otherwise(45)
+    n = F.aggregate("_lines", F.lit(0).cast("bigint"), lambda s, v: s + F.ceil(F.size(F.filter(F.split(v, " "), lambda t: t != "")) / wrap) + 1)
+    return x.select("doc", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / rows).cast("int"))).alias("page"))
+
+
+@query()
+def page_elements(spark: SparkSession, d: str) -> DataFrame:
+    return elements.page_elements(text_words(spark, d))
+
+
+@query()
+def page_tables(spark: SparkSession, d: str) -> DataFrame:
+    return elements.table_cells(elements.page_elements(text_words(spark, d)))
+
+
+@query()
+def region_text(spark: SparkSession, d: str) -> DataFrame:
+    x = text_regions(spark, d)
+    return regions.region_text(x, x.groupBy("doc", "page").agg(F.greatest(F.max("x1"), F.lit(600.0)).alias("page_width")))
+
+
+@query()
+def region_grids(spark: SparkSession, d: str) -> DataFrame:
+    x = text_regions(spark, d)
+    lines = regions.visual_lines(x).join(x.groupBy("doc", "page").agg(F.greatest(F.max("x1"), F.lit(600.0)).alias("page_width")), ["doc", "page"])
+    g = regions.grids(regions.with_tables(lines)).select("doc", "page", "table", "first", F.posexplode("rows").alias("row", "cells"))
+    return g.select("doc", "page", "table", "first", "row", F.posexplode("cells").alias("column", "text"))
+
+
+@query()
+def baseline_lines(spark: SparkSession, d: str) -> DataFrame:
+    x = text_regions(spark, d).select("doc", "page", "region", (700 - F.col("y0")).alias("y"), (F.col("y1") - F.col("y0")).alias("height"), "text")
+    return regions.baseline_lines(x)
+
+
+@query()
+def regions_apart(spark: SparkSession, d: str) -> DataFrame:
+    return regions.apart(text_regions(spark, d)).select("doc", "page", "region", "y0", "y1")
 
 
 @query()
 def text_export(spark: SparkSession, d: str) -> DataFrame:
-    return export.as_text(export.across_pages(elements(spark, d)))
+    pages = text_pages(spark, d)
+    return export.as_text(export.across_pages(elements.page_elements(text_words(spark, d)), pages), pages)
 
 
 @query()
 def markdown_export(spark: SparkSession, d: str) -> DataFrame:
-    return export.as_markdown(export.across_pages(elements(spark, d)))
+    pages = text_pages(spark, d)
+    return export.as_markdown(export.across_pages(elements.page_elements(text_words(spark, d)), pages), pages)
 
 
 #: Sessions of files: a supplier's parts, and an event for each line item.

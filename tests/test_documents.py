@@ -110,19 +110,36 @@ def test_text_and_markdown(spark):
         (1, 1, 1, "paragraph_indent", "Four", [], [], 2),
         (2, 5, 0, "heading1", "Page 3", [], [], 0),
     ]
-    df = export.across_pages(spark.createDataFrame(rows, ELEMENTS))
-    text = {r.doc: r.text for r in export.as_text(df).collect()}
+    pages = spark.createDataFrame([(1, 0), (1, 1), (2, 4), (2, 5), (2, 6), (3, 0), (3, 1)], "doc long, page int")
+    df = export.across_pages(spark.createDataFrame(rows, ELEMENTS), pages)
+    text = {r.doc: r.text for r in export.as_text(df, pages).collect()}
     assert text[1] == "--- Page 1 ---\n\nQUALITY #1\n\n\nName: Ana_B\nAge: 4\n\na   | long\n----+-----\nx|y |     \n\n{a;}\n\n─│─ \nx\n\none \ntwo,\nthree\n\n\n\n\n\n--- Page 2 ---\n\n  Four\n"
-    assert text[2] == "--- Page 1 ---\n\nPage 3\n"
-    marked = {r.doc: r.text for r in export.as_markdown(df).collect()}
+    gap = "\n" * 6
+    assert text[2] == f"--- Page 1 ---\n{gap}--- Page 2 ---\n\nPage 3\n{gap}--- Page 3 ---\n" and text[3] == f"--- Page 1 ---\n{gap}--- Page 2 ---\n"
+    marked = {r.doc: r.text for r in export.as_markdown(df, pages).collect()}
     assert marked[1] == "QUALITY #1\n\n**Name:** Ana\\_B\n\n**Age:** 4\n\n| a | long |\n|---|---|\n| x\\|y |   |\n\n```\n{a;}\n─│─\nx\n```\n\none  \ntwo,  \nthree\n\n---\n\nFour\n"
-    assert marked[2] == "Page 3\n"
+    assert marked[2] == "---\n\nPage 3\n\n---\n" and marked[3] == "---\n"
+
+
+def across(spark, pages):
+    """Texts of the pages' paragraphs after those that go on were joined; a page is a list of them."""
+    rows = [(1, p, k, "paragraph", t, [], [], 0) for p, page in enumerate(pages) for k, t in enumerate(page)]
+    known = spark.createDataFrame([(1, p) for p in range(len(pages))], "doc long, page int")
+    return [r.text for r in export.across_pages(spark.createDataFrame(rows, ELEMENTS), known).orderBy("page", "seq").collect()]
 
 
 def test_paragraphs_across_pages_come_in_pairs(spark):
-    rows = [(1, p, 0, "paragraph", t, [], [], 0) for p, t in enumerate(["a,", "b,", "c,", "d -", "E"])]
-    got = export.across_pages(spark.createDataFrame(rows, ELEMENTS)).orderBy("page").collect()
-    assert [r.text for r in got] == ["a, b,", "c, d -", "E"]
+    assert across(spark, [["a,"], ["b,"], ["c,"], ["d -"], ["E"]]) == ["a, b,", "c, d -", "E"]
+    assert across(spark, [["a,"], [], ["b"]]) == ["a,", "b"]  # a blank page parts them
+    assert across(spark, [["x", "a,"], ["b", "c,"], ["d,"], ["e"]]) == ["x", "a, b", "c, d,", "e"]
+    rng = random.Random(8)
+    for _ in range(12):
+        pages = [["".join(rng.choice(["a,", "b", "C,", "d -"])) for _ in range(rng.choice([0, 1, 1, 2]))] for _ in range(8)]
+        want = [list(p) for p in pages]
+        for i in range(len(want) - 1):
+            if want[i] and want[i + 1] and want[i][-1][-1] in ",-" and want[i + 1][0][0].islower():
+                want[i][-1] += " " + want[i + 1].pop(0)
+        assert across(spark, pages) == [t for p in want for t in p], pages
 
 
 def test_front_matter(spark):

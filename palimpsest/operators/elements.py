@@ -138,6 +138,30 @@ def merged_rows(rows: Column, width: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.array_join(F.filter(F.transform(rows, lambda r: F.get(r, j)), lambda c: c != ""), " "))
 
 
+def attempted(at: DataFrame, known: Column | None = None) -> DataFrame:
+    """at (own: neighbouring rows) with the table that begins with its first row: line, own
+    without misaligned rows, centres, cells, whether it is one, and where it stops. Rows for
+    which `known` holds have all that already."""
+
+    def put(**columns: Column) -> None:
+        nonlocal at
+        at = settled(at, **{k: c if known is None else F.when(known, F.col(k)).otherwise(c) for k, c in columns.items()})
+
+    middle = F.get(F.array_sort(F.transform("own", lambda v: v["min_x"])), F.floor(F.size("own") / 2).cast("int"))
+    put(line=F.get("own", 0), _middle=middle)
+    put(own=F.filter("own", lambda v: v["min_x"] <= F.col("_middle") + MISALIGNED))
+    put(_most=F.array_max(F.transform("own", lambda v: F.size(v["groups"]))))
+    put(_sorted=F.array_sort(F.flatten(F.transform(F.filter("own", lambda v: F.size(v["groups"]) == F.col("_most")), lambda v: F.transform(v["groups"], lambda g: (F.get(g, 0)["x0"] + F.element_at(g, -1)["x1"]) / 2)))))
+    put(centres=clusters(F.col("_sorted")))
+    able = ~F.col("line.blank") & (F.size("own") >= LEAST_ROWS) & (F.size("centres") >= 2)
+    put(bounds=F.when(able, F.transform(F.sequence(F.lit(0), F.size("centres") - 2), lambda i: (F.get("centres", i) + F.get("centres", i + 1)) / 2)))
+    put(cells=F.when(F.col("bounds").isNotNull(), F.transform("own", lambda v: cells(F.flatten(F.transform(v["groups"], lambda g: parted(g, F.col("bounds")))), F.col("centres")))))
+    put(_lengths=F.array_sort(F.transform(F.filter(F.flatten("cells"), lambda c: c != ""), F.length)))
+    short = (F.size("_lengths") == 0) | (F.get("_lengths", F.floor(F.size("_lengths") / 2).cast("int")) <= CELL_LENGTH)
+    put(ok=F.col("cells").isNotNull() & F.coalesce(short, F.lit(False)), stop=F.element_at("own", -1)["nth"] + 1)
+    return at
+
+
 def table_regions(lines: DataFrame) -> DataFrame:
     """doc, page, column, start, stop, n_headers, cells of the tables that lines hold.
 
@@ -153,20 +177,15 @@ def table_regions(lines: DataFrame) -> DataFrame:
     x = x.filter(like_table(F.col("groups"))).withColumn("_run", F.col("nth") - F.row_number().over(order))
     runs = x.groupBy(*KEYS, "_run").agg(F.array_sort(F.collect_list(F.struct("nth", "y", "min_x", F.col("text") == "", "groups", "above"))).alias("lines")).filter(F.size("lines") >= LEAST_ROWS)
     runs = runs.withColumn("lines", F.col("lines").cast("array<struct<nth: int, y: double, min_x: double, blank: boolean, groups: array<array<struct<x0: double, x1: double, w: double, h: double, text: string>>>, above: array<struct<y: double, min_x: double, words: array<struct<x0: double, x1: double, w: double, h: double, text: string>>>>>>"))
-    at = runs.select(*KEYS, "_run", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - LEAST_ROWS)).alias("_k"))
-    at = settled(at, own=F.slice("lines", F.col("_k") + 1, F.size("lines"))).drop("lines")
-    middle = F.get(F.array_sort(F.transform("own", lambda v: v["min_x"])), F.floor(F.size("own") / 2).cast("int"))
-    at = settled(at, line=F.get("own", 0), _middle=middle)
-    at = settled(at.filter("not line.blank"), own=F.filter("own", lambda v: v["min_x"] <= F.col("_middle") + MISALIGNED)).filter(F.size("own") >= LEAST_ROWS)
-    at = settled(at, _most=F.array_max(F.transform("own", lambda v: F.size(v["groups"]))))
-    widest = F.flatten(F.transform(F.filter("own", lambda v: F.size(v["groups"]) == F.col("_most")), lambda v: F.transform(v["groups"], lambda g: (F.get(g, 0)["x0"] + F.element_at(g, -1)["x1"]) / 2)))
-    at = settled(at, _sorted=F.array_sort(widest))
-    at = settled(at, centres=clusters(F.col("_sorted"))).filter(F.size("centres") >= 2)
-    at = settled(at, bounds=F.transform(F.sequence(F.lit(0), F.size("centres") - 2), lambda i: (F.get("centres", i) + F.get("centres", i + 1)) / 2))
-    at = settled(at, cells=F.transform("own", lambda v: cells(F.flatten(F.transform(v["groups"], lambda g: parted(g, F.col("bounds")))), F.col("centres"))))
-    at = settled(at, _lengths=F.array_sort(F.transform(F.filter(F.flatten("cells"), lambda c: c != ""), F.length)))
-    at = at.filter((F.size("_lengths") == 0) | (F.get("_lengths", F.floor(F.size("_lengths") / 2).cast("int")) <= CELL_LENGTH))
-    at = settled(at, start=F.col("line.nth"), stop=F.element_at("own", -1)["nth"] + 1)
+    at = attempted(runs.withColumn("own", F.col("lines")))
+    # where the first table takes the whole run, no other line is tried
+    whole = F.col("ok") & (F.element_at("lines", -1)["nth"] + 1 - F.col("stop") < LEAST_ROWS)
+    at = settled(at, _tries=F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size("lines") - LEAST_ROWS)))
+    at = at.select("*", F.explode("_tries").alias("_k"))
+    first = F.col("_k") == 0
+    at = settled(at, own=F.when(first, F.col("own")).otherwise(F.slice("lines", F.col("_k") + 1, F.size("lines"))))
+    at = attempted(at, first).drop("lines", "_tries").filter("ok")
+    at = settled(at, start=F.col("line.nth"))
     # of a run's tables, the first, and those that begin where it or a later one has ended
     run = F.sort_array(F.collect_list(F.struct("start", "stop")).over(Window.partitionBy(*KEYS, "_run")))
     step = lambda s, t: F.when(t["start"] >= s["stop"], F.struct(t["stop"].alias("stop"), F.concat(s["starts"], F.array(t["start"])).alias("starts"))).otherwise(s)

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators import contract as C
 from palimpsest.operators.benchmarks import worsening
 from palimpsest.operators.ranks import at_rank, median, nearest_rank, rounded_index, same_group
 
@@ -132,24 +133,35 @@ def regressions() -> Column:
     return F.array_compact(F.array(*found))
 
 
-def compared(base: DataFrame, new: DataFrame, settings: Sequence[str] = ()) -> DataFrame:
+def compared(base: DataFrame, new: DataFrame, settings: Sequence[str] = (), contract: str | None = None) -> DataFrame:
     """One row for each identity of either run: side (both, baseline, candidate), missing
     measures of each, settings that differ, and regressions. Identities are unique, as
-    refused() tells."""
+    refused() tells. contract: a VARIANT column with the description of how a record was
+    made; its incomplete fields are then in config_missing_base and config_missing_new, and
+    what both tell differently counts as a setting that differs."""
+    if contract:
+        base, new = (C.described(x, contract).drop(contract) for x in (base, new))
     a, b = (identified(x).select(*IDENTITY, F.struct(*(c for c in x.columns if c not in IDENTITY)).alias(n)) for x, n in ((base, "base"), (new, "new")))
     x = a.join(b, list(IDENTITY), "full")
     both = F.col("base").isNotNull() & F.col("new").isNotNull()
     none = F.array().cast("array<string>")
     differ = F.array_compact(F.array(*(F.when(~F.col(f"base.{c}").eqNullSafe(F.col(f"new.{c}")), F.lit(c)) for c in settings))) if settings else none
+    more = ()
+    if contract:
+        differ = F.concat(differ, C.differing(F.col("base.contract_values"), F.col("new.contract_values")))
+        more = tuple((f"config_missing_{n}", F.col(f"{n}.contract_missing")) for n in ("base", "new"))
     side = F.when(F.col("base").isNull(), "candidate").when(F.col("new").isNull(), "baseline").otherwise("both")
     only = lambda c: F.when(both, c).otherwise(none)
-    return x.select(*IDENTITY, side.alias("side"), only(missing_measures("base")).alias("missing_base"), only(missing_measures("new")).alias("missing_new"), only(differ).alias("settings_differ"), only(regressions()).alias("regressions"))
+    return x.select(*IDENTITY, side.alias("side"), only(missing_measures("base")).alias("missing_base"), only(missing_measures("new")).alias("missing_new"), only(differ).alias("settings_differ"), only(regressions()).alias("regressions"), *(only(c).alias(n) for n, c in more))
 
 
-def verdict(rows: DataFrame) -> DataFrame:
-    """Counts of a comparison, and whether the runs are comparable and pass."""
+def verdict(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Counts of a comparison (or of each one of several, by keys), and whether the runs are
+    comparable and pass."""
     some = lambda c: F.count_if(F.size(c) > 0)
-    x = rows.agg(
+    described = "config_missing_base" in rows.columns
+    config = [(some("config_missing_base") + some("config_missing_new")).alias("configuration_missing")] if described else []
+    x = rows.groupBy(*keys).agg(
         F.count_if(F.col("side") != "candidate").alias("baseline_records"),
         F.count_if(F.col("side") != "baseline").alias("candidate_records"),
         F.count_if(F.col("side") == "baseline").alias("baseline_only"),
@@ -157,6 +169,8 @@ def verdict(rows: DataFrame) -> DataFrame:
         (some("missing_base") + some("missing_new")).alias("metric_missing"),
         some("settings_differ").alias("settings_mismatch"),
         some("regressions").alias("record_regressions"),
+        *config,
     )
-    whole = F.col("baseline_only") + F.col("candidate_only") + F.col("metric_missing") + F.col("settings_mismatch") == 0
+    faults = F.col("baseline_only") + F.col("candidate_only") + F.col("metric_missing") + F.col("settings_mismatch")
+    whole = (faults + F.col("configuration_missing") if described else faults) == 0
     return x.withColumn("comparable", whole).withColumn("passes", whole & (F.col("record_regressions") == 0))

@@ -96,6 +96,30 @@ def logical_pages(pages: DataFrame, doc: str = "doc", page: str = "page", split:
     return pages.withColumn("logical", F.coalesce(F.sum(F.when(F.col(split), 2).otherwise(1)).over(order), F.lit(0)) + 1)
 
 
+def spread_boxes(boxes: DataFrame, doc: str = "doc", page: str = "page") -> DataFrame:
+    """Boxes in percent of their pages (doc, page, id, x, width and more) on logical pages: a
+    page with a clear gap in its middle becomes two, and the boxes of each half, told by their
+    centres, are stretched to a whole page. Adds logical and gap (null: not a spread). Only
+    pages with boxes count; a box that crosses the gap goes with its centre."""
+    gaps = spread_gap(boxes.select(doc, page, F.col("x").alias("x0"), (F.col("x") + F.col("width")).alias("x1")), [doc, page], 100, 4)
+    gaps = gaps.select(doc, page, ((F.col("gap0") + F.col("gap1")) / 2).alias("gap"))
+    pages = boxes.select(doc, page).distinct().join(gaps, [doc, page], "left").withColumn("split", F.col("gap").isNotNull())
+    x = boxes.join(logical_pages(pages, doc, page).drop("split"), [doc, page])
+    gap = F.col("gap")
+    right = F.coalesce(F.col("x") + F.col("width") / 2 >= gap, F.lit(False))
+    scale = F.when(gap.isNull(), 1.0).when(right, 100.0 / (100.0 - gap)).otherwise(100.0 / gap)
+    start = F.when(right, F.col("x") - gap).otherwise(F.col("x"))
+    return x.withColumns({"logical": (F.col("logical") + right.cast("int")).cast("long"), "x": start * scale, "width": F.col("width") * scale})
+
+
+def spread_text(boxes: DataFrame, doc: str = "doc") -> DataFrame:
+    """Texts of documents with spreads, logical page by logical page, lines by y; boxes as
+    spread_boxes gives them. Documents without a spread keep the text they have: no row."""
+    by_page = assembled(boxes, [doc, "logical"], ["y", "id"], "text", "\n").drop("n_parts")
+    some = boxes.filter("gap IS NOT NULL").select(doc).distinct()
+    return assembled(by_page.join(some, doc, "left_semi"), [doc], ["logical"], "text", "\n\n").withColumnRenamed("n_parts", "n_pages")
+
+
 def assembled(parts: DataFrame, keys: Sequence[str], by: Sequence[str], text: str, separator: str) -> DataFrame:
     """Ordered text of each group; the order's last key is unique."""
     item = F.struct(*by, F.col(text).alias("_t"))

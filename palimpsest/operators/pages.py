@@ -21,6 +21,19 @@ def deleted(pages: DataFrame, gone: DataFrame, doc: str = "doc") -> DataFrame:
     return renumbered(left.filter(F.col("_gone").isNull() | (F.col("_keeps") == 0)).drop("_gone", "_keeps"), "pos", doc=doc)
 
 
+def deletions(pages: DataFrame, gone: DataFrame, doc: str = "doc") -> DataFrame:
+    """What deleting the listed (doc, pos) does to each document that is listed: ok, n_deleted
+    and n_left; refused with a reason where no listed page exists or none would be left.
+    A document that is listed but has no pages is refused, too."""
+    at = pages.select(doc, "pos").withColumn("_there", F.lit(True))
+    listed = gone.select(doc, "pos").distinct().withColumn("_listed", F.lit(True))
+    x = at.join(listed, [doc, "pos"], "full").groupBy(doc).agg(F.count("_there").alias("_n"), F.count("_listed").alias("_asked"), F.count_if(F.col("_there") & F.col("_listed")).alias("_gone"))
+    reason = F.when(F.col("_gone") == 0, "no valid pages").when(F.col("_gone") >= F.col("_n"), "all pages")
+    x = x.filter("_asked > 0").withColumn("reason", reason)
+    ok = F.col("reason").isNull()
+    return x.select(doc, ok.alias("ok"), "reason", F.when(ok, F.col("_gone")).otherwise(0).alias("n_deleted"), F.when(ok, F.col("_n") - F.col("_gone")).otherwise(F.col("_n")).alias("n_left"))
+
+
 def selected(pages: DataFrame, wanted: DataFrame, doc: str = "doc") -> DataFrame:
     """Pages in the order given: wanted has (doc, turn, pos); pages may repeat or be
     left out; positions that don't exist are ignored."""

@@ -315,6 +315,25 @@ def better_of_two(spark: SparkSession, d: str) -> DataFrame:
     return x.filter("pos % 2 = 1").join(second, ["doc", "pos"]).select("doc", "pos", jobs.better(F.col("r"), F.col("s"))["text"].alias("text"))
 
 
+@query(f"""WITH {TURNS}, s AS (SELECT doc, pos, text, length(text) // 200 AS n, pos * 7 % 5 / 10.0 AS score FROM pages)
+SELECT a.doc, a.pos, CASE WHEN b.n > a.n OR b.n = a.n AND b.score > a.score THEN 'second' ELSE 'first' END AS reading FROM s a JOIN s b ON a.doc = b.doc AND b.pos = a.pos + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL""")
+def better_reading(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn against the next by length in steps of 200, where many tie, then by score."""
+    text = F.repeat(F.lit("x"), F.floor(F.length("text") / 200).cast("int"))
+    x = turns(spark, d).filter("text IS NOT NULL").select("doc", "pos", text.alias("text"), (F.col("pos") * 7 % 5 / 10.0).alias("score"))
+    reading = lambda name: F.struct("text", "score", F.lit(name).alias("reading"))
+    second = x.select("doc", (F.col("pos") - 1).alias("pos"), reading("second").alias("s"))
+    return x.select("doc", "pos", reading("first").alias("r")).join(second, ["doc", "pos"]).select("doc", "pos", jobs.better(F.col("r"), F.col("s"))["reading"].alias("reading"))
+
+
+@query(f"""WITH {TURNS}, n AS (SELECT doc, count(*) AS n, count(*) FILTER (pos % 2 = 0 OR doc % 7 = 3) AS g FROM pages GROUP BY doc)
+SELECT doc, g > 0 AND g < n AS ok, CASE WHEN g = 0 THEN 'no valid pages' WHEN g >= n THEN 'all pages' END AS reason, CASE WHEN g > 0 AND g < n THEN g ELSE 0 END AS n_deleted, CASE WHEN g > 0 AND g < n THEN n - g ELSE n END AS n_left FROM n""")
+def page_deletions(spark: SparkSession, d: str) -> DataFrame:
+    """Deleting every second page, all pages of some documents, and a page that none has."""
+    x = turns(spark, d).select("doc", "pos")
+    return pages.deletions(x, x.filter("pos % 2 = 0 OR doc % 7 = 3").unionByName(x.select("doc", F.lit(0).cast("long").alias("pos"))))
+
+
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
 def json_fields(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))

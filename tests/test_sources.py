@@ -6,10 +6,11 @@ from difflib import SequenceMatcher
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from palimpsest.operators import layout, verify
+from palimpsest.operators import layout, pages, verify
 from palimpsest.plans import comparisons, sources
-from palimpsest.sources import markup
+from palimpsest.sources import bound, markup, readers
 from test_queries import TABLES, same
 
 
@@ -120,3 +121,61 @@ def test_spread_boxes(spark):
     assert got[2, 5] == (3, 50.0, 10.0) and got[4, 2] == (4, 90.0, 5.0)
     assert layout.spread_text(out).first().text == "t1\nt0\n\nt3\nt2\n\n" + "\n".join(f"u{k}" for k in range(9)) + "\n\nv\nv\nv"
     assert layout.spread_boxes(boxes.limit(0)).count() == 0
+
+
+def test_bound_documents(spark):
+    import hashlib
+    import json
+
+    data = b"bytes"
+    sha = hashlib.sha256(data).hexdigest()
+    page = lambda n, **more: {"page_index": n, "width_px": 10, "height_px": 10, "dpi": 72} | more
+    whole = lambda **more: {"version": 2, "pdf": {"sha256": sha, "size_bytes": 5}, "state": "document", "document": {"pages": [page(1), page(2)]}} | more
+    cases = [
+        ("whole", whole(), ("document", None, True)),
+        ("pages in another order", whole(document={"pages": [page(2), page(1)]}), ("document", None, True)),
+        ("page twice", whole(document={"pages": [page(1), page(1)]}), ("document", None, False)),
+        ("no pages", whole(document={"pages": None}), ("document", None, False)),
+        ("pages no array", whole(document={"pages": 3}), ("refused", "page", None)),
+        ("page without dpi", whole(document={"pages": [{"page_index": 1, "width_px": 1, "height_px": 1}]}), ("refused", "page", None)),
+        ("version in a text", whole(version="2"), ("refused", "version", None)),
+        ("version true", whole(version=True), ("refused", "version", None)),
+        ("pdf missing", whole(pdf=None), ("refused", "pdf", None)),
+        ("size below 0", whole(pdf={"sha256": sha, "size_bytes": -1}), ("refused", "size", None)),
+        ("size in a text", whole(pdf={"sha256": sha, "size_bytes": "5"}), ("refused", "size", None)),
+        ("other size", whole(pdf={"sha256": sha, "size_bytes": 6}), ("stale", "size", None)),
+        ("other hash", whole(pdf={"sha256": "0" * 64, "size_bytes": 5}), ("stale", "hash", None)),
+        ("digest with a line end", whole(pdf={"sha256": sha + "\n", "size_bytes": 5}), ("refused", "fingerprint", None)),
+        ("why not", whole(state="unavailable", reason="why not"), ("unavailable", "why not", None)),
+        ("no reason", whole(state="unavailable", reason=""), ("refused", "unavailable", None)),
+        ("state", whole(state=None), ("refused", "state", None)),
+        ("document", whole(document=[]), ("refused", "document", None)),
+        ("legacy", {"version": 1, "document": {"pages": []}}, ("legacy", None, None)),
+        ("file missing", whole(), ("stale", "file", None)),
+        ("array", [1], ("refused", "json", None)),
+    ]
+    rows = [(n, json.dumps(c)) for n, c, _ in cases] + [("null", None), ("empty", ""), ("cut", '{"version":2')]
+    side = spark.createDataFrame(rows, "name string, payload string")
+    files = spark.createDataFrame([(n, sha, 5, 2) for n, _ in rows if n != "file missing"], "name string, sha256 string, size long, n_pages int")
+    got = {r.name: (r.state, r.reason, r.covers) for r in bound.bound_documents(side, files, "name").collect()}
+    assert got == {n: want for n, _, want in cases} | {n: ("refused", "json", None) for n in ("null", "empty", "cut")}
+    assert bound.bound_documents(side.filter("name = 'legacy'"), files, "name", legacy=True).first().state == "document"
+    texts = [page(1, native_text="native", lines=[{"text": "a"}]), page(2, lines=[{"text": "b"}, {}, {"text": "c"}]), page(3, native_text=" "), page(4, text_results=[{"text": "d", "box": [[0, 0]], "confidence": 1}])]
+    one = bound.bound_documents(spark.createDataFrame([("whole", json.dumps(whole(document={"pages": texts})))], side.schema), files, "name")
+    assert one.select(bound.document_text(F.col("pages"))).first()[0] == "native\n\nb\n\nc\n\nd"
+
+
+def test_words_and_regions_are_refused_when_malformed(spark, tmp_path):
+    head = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n"
+    good = "5\t1\t0\t0\t0\t0\t1.5\t2\t3\t4\t90\t%s\n"
+    (tmp_path / "w.tsv").write_text(head + good % '"quoted' + good % "\xa0 " + "5\t1\t0\t0\t0\t0\t1\t2\tx\t4\t90\twidth\n" + "5\t1\t0\t0\t0\t0\t1\t2\t3\t\t90\theight\n" + "4\t1\t0\t0\t0\t0\t1\t2\t3\t4\t90\tlevel\n" + "5\tp\t0\t0\t0\t0\t1\t2\t3\t4\t90\tpage\n")
+    assert [r.text for r in readers.words_tsv(spark, str(tmp_path / "w.tsv")).collect()] == ['"quoted']
+    raw = spark.createDataFrame([(1, [[1], [2]], ["a", "b"], [0.5, 0.6]), (2, [[1]], ["a", "b"], [0.5]), (3, [[1]], None, [0.5]), (4, None, ["a"], None), (5, None, None, None), (6, [], [], []), (7, [], None, [])], "page long, boxes array<array<int>>, txts array<string>, scores array<double>")
+    assert [(r.page, r.idx, r.text) for r in readers.regions(raw).orderBy("page", "idx").collect()] == [(1, 0, "a"), (1, 1, "b")]
+    assert {r.page: r.problem for r in readers.refused_regions(raw).collect()} == {2: "different lengths", 3: "missing arrays", 4: "unexpected values", 7: "missing arrays"}
+
+
+def test_deletions(spark):
+    at = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 1), (5, 1)], "doc long, pos long")
+    gone = spark.createDataFrame([(1, 1), (1, 1), (1, 9), (2, 1), (2, 2), (3, 4), (4, 1)], "doc long, pos long")
+    assert {tuple(r) for r in pages.deletions(at, gone).collect()} == {(1, True, None, 1, 1), (2, False, "all pages", 0, 1), (3, False, "no valid pages", 0, 1), (4, False, "no valid pages", 0, 0)}

@@ -16,7 +16,7 @@ LEAST_CHARS, REPLACED_LIMIT, CONTROL_LIMIT, GLYPH_LIMIT, DENSITY_LIMIT = 10, 0.0
 BOX_DRAWING = "┌┐└┘├┤┬┴┼│─═╔╗╚╝║"
 HEADING1, HEADING3 = rf"^\d+(\.\d+)*[.)]{WS}+{NOT_WS}", rf"^[A-Z]\d+{WS}*[-–—.]{WS}*[\p{{L}}\p{{N}}_]"
 LABEL = rf"(?i)^(page{WS}+\d|fax{WS}+(no|number)\b)"
-KEY_VALUE, CODE = rf"^[^:]{{3,40}}:{WS}+.+$", rf"^[A-Z]\d*(\.\d+)*{WS}*[-–—.]"
+KEY_VALUE, CODE = rf"^[^:]{{3,40}}:{WS}+[^\n]+\n?\z", rf"^[A-Z]\d*(\.\d+)*{WS}*[-–—.]"
 INLINE_MARKS, START_MARKS = r"([\\`*_\[\]<>|])", r"^([#\-+>]|\d+\.(?=\s|$))"
 
 

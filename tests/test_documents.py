@@ -171,3 +171,9 @@ def test_sessions(spark):
     q, e = spark.createDataFrame(queued, "session int, file string"), spark.createDataFrame(events, "session int, file string, at int, event string, detail string")
     assert {tuple(r) for r in sessions.final_states(q, e).collect()} == {(1, "a", "completed", "out", None), (1, "b", "failed", None, "bad"), (2, "a", "completed", "o", None), (2, "b", "pending", None, None)}
     assert {tuple(r) for r in sessions.session_states(q, e).collect()} == {(1, 2, 1, 1, 0, True), (2, 2, 1, 0, 1, False)}
+
+
+def test_key_values_over_line_ends(spark):
+    texts = ["Sum: 12", "Sum: 1\r2", "Sum: 1\x852", "Sum: 12\n", "Sum: 1\n2", "Sum: 12\r", "To: 1", "a:b: c", "Sum:\n12"]
+    x = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(D.key_value(F.col("t")))
+    assert [r[0] for r in x.collect()] == [True, True, True, True, False, True, False, False, True]

@@ -107,6 +107,10 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+#: How scratch files are created on a local disk: without checksum files, and without a
+#: process for each of the two that sets its permissions. Other file systems don't look at this.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 #: Bytes of input for a partition of a table, and partitions for each core of the session, at least.
 PART_BYTES, CORE_PARTS = 16 << 20, 4
 
@@ -126,7 +130,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     on_workers(spark)
     path = scratch(spark, name)
     with shuffles_dropped(spark):
-        merged(df).write.option("compression", "zstd").parquet(path)
+        merged(df).write.options(**PLAIN_FILES).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

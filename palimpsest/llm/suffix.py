@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import lean, longs, on_workers, scratch, shuffles_dropped, written
+from palimpsest.llm.common import PLAIN_FILES, lean, longs, on_workers, scratch, shuffles_dropped, written
 
 LENGTH, KGRAM = 100, 36
 #: Bytes of text that are looked at together, and of a batch.
@@ -222,7 +222,7 @@ def parts_of(docs: DataFrame, key: str | None, total: int) -> DataFrame:
     x = x.withColumn("slot", F.get(longs(own_buckets(spark, n)), F.spark_partition_id())).select("slot", "seq", "doc_key", "row_key", "raw")
     name = f"texts_{uuid.uuid4().hex}"
     with shuffles_dropped(spark):
-        x.write.bucketBy(n, "slot").sortBy("seq").option("compression", "zstd").option("path", scratch(spark, "texts")).saveAsTable(name)
+        x.write.bucketBy(n, "slot").sortBy("seq").options(**PLAIN_FILES).option("compression", "zstd").option("path", scratch(spark, "texts")).saveAsTable(name)
     return spark.table(name)
 
 

@@ -14,12 +14,14 @@ import json
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import on_workers, text_of
-from palimpsest.llm.tokens import SPACE, Encoder, byte_chars
+from palimpsest.llm.tokens import LETTERS, MARKS, NOTHING, SPACE, Encoder, both, byte_chars, slices
 
 #: Fixed value: the pre-tokenizer's pattern of byte_bpe_50k.json, with Unicode's white space written out.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -27,15 +29,45 @@ PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{
 _codecs: dict[str, "PrefixCodec"] = {}
 
 
+class Suffixes:
+    """An automaton over tokens' bytes. From the state of a prefix one byte leads to
+    the state of the longer one; ends: size and id of the tokens that are suffixes of a
+    state's prefix, longest first. States may be kept and gone on from."""
+
+    def __init__(self, tokens: Iterable[tuple[bytes, int]]) -> None:
+        self.goto: dict[int, int] = {}  # state * 256 + byte
+        goto, own, depth = self.goto, [()], [0]
+        for raw, token in tokens:
+            at = 0
+            for byte in raw:
+                key = at << 8 | byte
+                if key not in goto:
+                    goto[key] = len(own)
+                    own.append(())
+                    depth.append(depth[at] + 1)
+                at = goto[key]
+            own[at] = ((len(raw), token),)
+        self.fail, self.ends = [0] * len(own), own
+        for key in sorted(goto, key=lambda k: depth[k >> 8]):
+            state, at, byte = goto[key], self.fail[key >> 8], key & 255
+            if key >> 8:
+                while at and at << 8 | byte not in goto:
+                    at = self.fail[at]
+                self.fail[state] = goto.get(at << 8 | byte, 0)
+            if more := self.ends[self.fail[state]]:
+                own[state] = own[state] + more if own[state] else more
+        for byte in range(256):
+            goto.setdefault(byte, 0)
+
+
 class PrefixCodec(Encoder):
-    """Keeps the ids of cuts as Encoder does; new ones come from encode_piece()."""
+    """Parts texts as Encoder does; the ids of cuts are those of their pieces, which come
+    from encode_pieces() and stay in a bounded table."""
 
     def __init__(self, path: str, most: int = 200_000) -> None:
-        import ahocorasick
         import regex
 
-        dict.__init__(self)
-        self.most, self.unknown, self.ends = most, set(), None
+        self.most, self.worded = most, False
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         byte = byte_chars()
@@ -55,15 +87,11 @@ class PrefixCodec(Encoder):
                 self.halves[t] = rank, a, b
         single = {self.bytes_of[i]: i for x, i in vocab.items() if len(x) == 1}
         self.single = [single[bytes([b])] for b in range(256)]
-        self.automaton = ahocorasick.Automaton()
-        for x, i in vocab.items():
-            raw = self.bytes_of[i]
-            if i in self.halves or len(raw) == 1:
-                self.automaton.add_word(raw.decode("latin-1"), (len(raw), i))
-        self.automaton.make_automaton()
+        self.automaton = Suffixes((self.bytes_of[i], i) for i in vocab.values() if i in self.halves or len(self.bytes_of[i]) == 1)
+        self.bytes_table = pa.array(self.bytes_of, pa.large_binary())
         self.piece = regex.compile(PIECES).findall
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str | int, bytes] = {}
         self.tested: dict[tuple[int, int], bool] = {}
         self.sound: dict[int, bool] = {}
 
@@ -107,64 +135,85 @@ class PrefixCodec(Encoder):
             ids[i : i + 2] = [self.merge[ids[i], ids[i + 1]][1]]
         return ids
 
-    def encode_piece(self, raw: bytes) -> list[int]:
-        last: list[tuple[int, int] | None] = [None] * (len(raw) + 1)
-        tested = self.tested
-        done = 0
-        for end, (size, token) in self.automaton.iter(raw.decode("latin-1")):
-            end += 1
-            if end == done:
-                continue  # the one token of this prefix is known
-            start = end - size
-            if start:
-                before = last[start]
-                if before is None:
-                    continue
-                pair = before[0], token
-                fits = tested.get(pair)
-                if fits is None:
-                    if len(tested) >= self.most:
-                        tested.clear()
-                    fits = tested[pair] = self.compatible(*pair)
-            else:
-                fits = self.whole(token)
-            if fits:
-                last[end] = token, start
-                done = end
-        ids, end = [], len(raw)
-        while end:
-            token, end = last[end]
-            ids.append(token)
-        return ids[::-1]
-
-    def _run(self, text: str) -> bytes:
-        out = []
-        for x in self.piece(text):
-            ids = self.pieces.get(x)
-            if ids is None:
-                if len(self.pieces) >= self.most:
-                    self.pieces.clear()
-                ids = array("I", self.encode_piece(x.encode())).tobytes()
-                if len(x) <= 64:
-                    self.pieces[x] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def _encode(self, cut: str) -> bytes:
+    def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """The ids of pieces. In their order neighbours begin alike, and what is stored
+        for the prefixes of one stays for those that the next one shares with it."""
+        out, tested, before = {}, self.tested, b""
+        goto, fail, ends = self.automaton.goto, self.automaton.fail, self.automaton.ends
+        states, last = [0], [(0, 0)]  # of each prefix: the state, and its last token with its start
+        for raw, piece in sorted((x.encode(), x) for x in pieces):
+            same, most = 0, min(len(raw), len(before))
+            while same < most and raw[same] == before[same]:
+                same += 1
+            del states[same + 1 :], last[same + 1 :]
+            before, state = raw, states[same]
+            for end in range(same + 1, len(raw) + 1):
+                byte = raw[end - 1]
+                while (then := goto.get(state << 8 | byte)) is None:
+                    state = fail[state]
+                state = then
+                states.append(state)
+                for size, token in ends[state]:
+                    start = end - size
+                    if start:
+                        pair = last[start][0], token
+                        fits = tested.get(pair)
+                        if fits is None:
+                            if len(tested) >= self.most:
+                                tested.clear()
+                            fits = tested[pair] = self.compatible(*pair)
+                    else:
+                        fits = self.whole(token)
+                    if fits:  # the one token of this prefix
+                        last.append((token, start))
+                        break
+                else:
+                    raise ValueError(f"no token ends {raw[:end]!r}")
+            ids, end = [], len(raw)
+            while end:
+                token, end = last[end]
+                ids.append(token)
+            out[piece] = array("I", ids[::-1]).tobytes()
+        return out
+
+    def pieces_of(self, key: str) -> list[str | int]:
+        """A key's pieces, and the ids of special tokens in it."""
+        cut = key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
         if not self.marks or "<" not in cut:
-            return self._run(cut)
+            return self.piece(cut)
         out, at = [], 0
         for m in self.marks.finditer(cut):
-            out += self._run(cut[at : m.start()]), array("I", [self.special[m[0]]]).tobytes()
+            out += *self.piece(cut[at : m.start()]), self.special[m[0]]
             at = m.end()
-        return b"".join([*out, self._run(cut[at:])])
-
-    def learn(self, new: Iterable[str]) -> None:
-        for key in new:
-            self[key] = self._encode(key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key)
-
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, array("I", ids))).decode("utf-8", "replace")
+        return out + self.piece(cut[at:])
+
+    def ids_of(self, keys: pa.Array) -> pa.Array:
+        plain, cuts = self.plain(keys)
+        words = pc.utf8_rtrim(cuts, MARKS).dictionary_encode()
+        marks = pc.utf8_ltrim(cuts, LETTERS).dictionary_encode()
+        parts = [(x[0], x[1:]) if x[0] == "\n" else (x,) for x in words.dictionary.to_pylist()]
+        parts += [(x,) if x else () for x in marks.dictionary.to_pylist()]
+        parts += map(self.pieces_of, keys.filter(pc.invert(plain)).to_pylist())
+        known = self.pieces
+        new = {x for p in parts for x in p if x not in known}
+        if len(known) + len(new) > self.most:
+            known.clear()
+            new = {x for p in parts for x in p}
+        numbers = {x for x in new if isinstance(x, int)}
+        known.update({x: array("I", [x]).tobytes() for x in numbers}, **self.encode_pieces(new - numbers))
+        ids = pa.array([known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in parts], pa.large_binary())
+        for x in new - numbers:
+            if len(x) > 64:
+                del known[x]
+        n, m = len(words.dictionary), len(marks.dictionary)
+        found = pc.binary_join_element_wise(ids[:n].take(words.indices), ids[n : n + m].take(marks.indices), NOTHING.cast(pa.large_binary()))
+        return both(plain, found, ids[n + m :])
+
+    def decode_all(self, some: list[bytes]) -> list[str]:
+        """The texts that the ids of many documents stand for."""
+        ids = np.frombuffer(b"".join(some), "<u4")
+        raw = slices(self.bytes_table.take(pa.array(ids)), np.array([len(x) // 4 for x in some], np.int64))
+        return [x.decode("utf-8", "replace") for x in raw]
 
 
 def codec(path: str) -> PrefixCodec:
@@ -195,7 +244,7 @@ def encode(docs: DataFrame, tokenizer: str, decoded: bool = False) -> DataFrame:
             ids = list(x.encode(batch.column("text").to_pylist()))
             columns = [batch.column("doc_id"), pa.array(ids, pa.binary())]
             if decoded:
-                columns.append(pa.array(map(x.decode, ids), pa.string()))
+                columns.append(pa.array(x.decode_all(ids), pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][: len(columns)])
 
     schema = "doc_id long, ids binary" + ", text string" * decoded
@@ -209,7 +258,8 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = codec(tokenizer)
         for batch in parts(batches):
-            texts = [None if raw is None else x.decode(raw) for raw in batch.column("ids").to_pylist()]
+            raw = batch.column("ids").to_pylist()
+            texts = [None if ids is None else t for ids, t in zip(raw, x.decode_all([ids or b"" for ids in raw]))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")

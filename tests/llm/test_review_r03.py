@@ -2,7 +2,16 @@
 
 from pathlib import Path
 
-from palimpsest.llm import common
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from palimpsest.llm import common, tokens
+
+BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+
+
+def library(path, texts):
+    return [b"".join(i.to_bytes(4, "little") for i in x.ids) for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
 def test_scratch_files_stand_alone(spark):
@@ -10,3 +19,20 @@ def test_scratch_files_stand_alone(spark):
     table = common.written(spark.range(1000), "alone")
     folder = Path(table.inputFiles()[0].removeprefix("file:")).parent
     assert table.count() == 1000 and not [f for f in folder.iterdir() if f.suffix == ".crc"]
+
+
+def test_plain_words_need_no_library():
+    """Words of letters are encoded together by ranks; every word of the vocabulary, alone and
+    before another, gets the library's ids, and only other cuts go to the library."""
+    x = tokens.Encoder(WORD)
+    words = sorted({w.removesuffix("</w>") for w in x.tokenizer.get_vocab() if w.removesuffix("</w>").isalpha() and w.isascii()})
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)] + [f"{a}{b}" for a, b in zip(words, words[7::3])] + ["Odd, é 12 don't\n\nx  y"]
+    assert list(x.encode(texts)) == library(WORD, texts)
+
+    class Refusing:
+        def encode_batch_fast(self, cuts, add_special_tokens):
+            assert not cuts
+            return []
+
+    x.tokenizer, want = Refusing(), library(WORD, ["The cat sat\non the mat"])
+    assert list(x.encode(["The cat sat\non the mat"])) == want

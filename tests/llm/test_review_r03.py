@@ -5,7 +5,7 @@ from pathlib import Path
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from palimpsest.llm import common, tokens
+from palimpsest.llm import bpe, common, tokens
 
 BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
@@ -36,3 +36,21 @@ def test_plain_words_need_no_library():
 
     x.tokenizer, want = Refusing(), library(WORD, ["The cat sat\non the mat"])
     assert list(x.encode(["The cat sat\non the mat"])) == want
+
+
+def test_shared_prefixes_are_walked_once():
+    """Pieces that begin alike share the states of their prefixes."""
+    x = bpe.PrefixCodec(BYTE)
+    pieces = [" " + "thentionedly" * 8 + a + b for a in "abcdefgh" for b in "stuvwxyz"]
+    want = dict(zip(pieces, library(BYTE, pieces)))
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, key):
+            Counting.asked += 1
+            return dict.get(self, key)
+
+    x.automaton.goto = Counting(x.automaton.goto)
+    assert x.encode_pieces(pieces) == want
+    assert Counting.asked < 20 * len(pieces)  # of 99 bytes each

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import exact, neardup, packing, suffix, toxicity
-from palimpsest.llm.common import keyed, merged, written
+from palimpsest.llm.common import heaps_returned, keyed, merged, written
 
 #: The column of row keys within a stage.
 ROW = "_row"
@@ -25,6 +25,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest doc_id."""
+    heaps_returned(spark)
     x = keyed(docs, ROW)
     chosen = exact.exact_dedup(x, key=ROW).filter("kept").select(ROW)
     return merged(x.join(chosen, ROW, "left_semi").select(*docs.columns))
@@ -32,6 +33,7 @@ def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
+    heaps_returned(spark)
     x = keyed(docs, ROW)
     chosen = neardup.near_duplicates(x, key=ROW).filter("kept").select(ROW)
     return merged(x.join(chosen, ROW, "left_semi").select(*docs.columns))
@@ -40,6 +42,7 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of 100 bytes or more that stand earlier; a
     character that a cut halves goes with the passage."""
+    heaps_returned(spark)
     x = keyed(docs, ROW)
     left = suffix.remove_repeats(x, length=100, key=ROW).filter("n_removed > 0").select(ROW, suffix.text_of_bytes("kept").alias("_left"))
     x = x.join(left, ROW, "left")
@@ -48,6 +51,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_all(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents' pieces in sequences of 1024 tokens."""
+    heaps_returned(spark)
     return merged(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, length=1024))
 
 

@@ -115,25 +115,34 @@ PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.fi
 PART_BYTES, CORE_PARTS = 16 << 20, 4
 
 
-def merged(df: DataFrame) -> DataFrame:
+def merged(df: DataFrame, core_parts: int = CORE_PARTS) -> DataFrame:
     """df in no more partitions than the size of what it reads asks for, so that a small
     table isn't written as very many files: a file costs about 30 ms of its own. Tasks
     read neighbouring partitions one after another; nothing is shuffled."""
     spark, leaves = df.sparkSession, df._jdf.queryExecution().analyzed().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.coalesce(min(1 << 30, max(CORE_PARTS * spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))))
+    return df.coalesce(min(1 << 30, max(core_parts * spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to a Parquet table in the shared folder and read it."""
+def written(df: DataFrame, name: str, core_parts: int = CORE_PARTS) -> DataFrame:
+    """Cut the lineage: write to a Parquet table in the shared folder and read it.
+    core_parts: 1 where rows are few numbers, so that a task of each core is enough."""
     spark = df.sparkSession
     on_workers(spark)
     path = scratch(spark, name)
     with shuffles_dropped(spark):
-        merged(df).write.options(**PLAIN_FILES).option("compression", "zstd").parquet(path)
+        merged(df, core_parts).write.options(**PLAIN_FILES).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def heaps_returned(spark: SparkSession) -> None:
+    """Let executors collect their garbage and give what is free of their heaps back to
+    the system, which they don't do by themselves: between steps of a long session, whose
+    garbage otherwise stays until a heap is at its limit. A small task for each core."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def keyed(docs: DataFrame, key: str) -> DataFrame:
     """docs with a long column that numbers its rows, written so that it stays."""
     return written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")

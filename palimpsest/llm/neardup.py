@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import drop_written, lean, on_workers, written
+from palimpsest.llm.common import drop_written, heaps_returned, lean, on_workers, written
 from palimpsest.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -321,10 +321,12 @@ def linked(members: DataFrame, shingled: DataFrame, idf, threshold: float = THRE
     """
     spark = members.sparkSession
     sketches = written(sketched(shingled, idf), "sketches")
-    roots = spark.createDataFrame([], "node long, root long")
-    found = spark.createDataFrame([], "a long, b long, sim double")
+    none = spark.range(0)  # of known size, unlike a table made of local rows
+    roots = none.select(F.col("id").alias("node"), F.col("id").alias("root"))
+    found = none.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("sim"))
     done, rows = 0, members.select("bucket", "row_id", "n")
     for drawn in DRAWN:
+        heaps_returned(spark)
         rooted = rows.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
         several = rooted.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("bucket")
         active = rooted.join(several, "bucket").filter(F.col("n") > done)
@@ -346,7 +348,7 @@ def joined(roots: DataFrame, new: DataFrame) -> DataFrame:
     kept = roots.join(moved, "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
     known = roots.select("node")
     fresh = moved.select(F.col("root").alias("node"), F.col("_new").alias("root")).join(known, "node", "left_anti")
-    return written(kept.unionByName(fresh), "roots")
+    return written(kept.unionByName(fresh), "roots", 1)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, bands: int = BANDS, per_band: int = ROWS, key: str | None = None) -> DataFrame:

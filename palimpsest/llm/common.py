@@ -107,8 +107,8 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-#: How scratch files are created on a local disk: without checksum files, and without a
-#: process for each of the two that sets its permissions. Other file systems don't look at this.
+#: How scratch files are created on a local disk: without checksum files, each of which would
+#: start a process of its own for its permissions, as files do. Other file systems don't look at this.
 PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 #: Bytes of input for a partition of a table, and partitions for each core of the session, at least.

@@ -51,8 +51,9 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def sorted_lines(text: Column) -> Column:
-    """Non-blank lines, trimmed, in sorted order: errors that ignore line order."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: F.length(x) > 0)
+    """Non-blank lines, without blanks at their ends, in sorted order: errors that ignore line order."""
+    bare = lambda x: F.regexp_replace(x, r"^\p{Zs}+|\p{Zs}+\z", "")
+    lines = F.filter(F.transform(F.split(text, "\n"), bare), lambda x: F.length(x) > 0)
     return F.array_join(F.array_sort(lines), "\n")
 
 

@@ -44,7 +44,7 @@ def reflowed(text: Column) -> Column:
     """Lines joined where one ends with a hyphen between letters, or goes on without
     a full stop into a line that begins in lower case; empty lines part paragraphs.
     One fold over the lines."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))  # by itself, trim would take the index for what to cut
 
     def step(out: Column, line: Column) -> Column:
         hyphen = out.rlike("\\p{L}-$") & line.rlike("^\\p{Ll}")

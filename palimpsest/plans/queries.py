@@ -364,7 +364,7 @@ def batch_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT doc_id, md5(coalesce(array_to_string(list_sort(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 0)), chr(10)), '')) AS form FROM documents""")
 def sorted_line_form(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.md5(T.sorted_lines(F.col("text")).cast("binary")).alias("form"))
+    return table(spark, d, "documents").select("doc_id", F.md5(F.coalesce(T.sorted_lines(F.col("text")), F.lit("")).cast("binary")).alias("form"))
 
 
 @query()

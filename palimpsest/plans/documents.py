@@ -94,7 +94,8 @@ def markdown_lines(spark: SparkSession, d: str) -> DataFrame:
 t AS (SELECT p_partkey, n, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 WHEN n < 1099511627776 THEN 3 ELSE 4 END AS p FROM s), v AS (SELECT *, n / power(1024.0, p) AS x FROM t)
 SELECT p_partkey, CASE WHEN n <= 0 THEN '0 B' ELSE CASE WHEN p = 0 OR x >= 100 THEN CAST(CAST(floor(x) AS BIGINT) AS VARCHAR) WHEN x >= 10 THEN printf('%.1f', x) ELSE printf('%.2f', x) END || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][p + 1] END AS size FROM v""")
 def file_sizes(spark: SparkSession, d: str) -> DataFrame:
-    k, c = F.col("p_partkey").cast("long"), F.col("p_size") % 5
+    # 64 bits do not hold the products of keys over 30,000
+    k, c = F.col("p_partkey").cast("decimal(19,0)"), F.col("p_size") % 5
     scale = F.when(c == 0, 1).when(c == 1, 37).when(c == 2, 40000).when(c == 3, 12345678).otherwise(9876543210)
     return table(spark, d, "part").select("p_partkey", D.file_size(F.when(k % 50 == 0, -k).otherwise(k * k * scale)).alias("size"))
 

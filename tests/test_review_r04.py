@@ -16,3 +16,15 @@ def test_sorted_lines_keep_digits_and_null_is_empty(spark, tmp_path):
         lines = sorted(x for x in (line.strip("  　") for line in (text or "").split("\n")) if x)
         assert got[k] == hashlib.md5("\n".join(lines).encode()).hexdigest(), text
     assert spark.range(1).select(blocks.reflowed(F.lit(" 0 a\n1 b")).alias("x")).first().x == "0 a\n1 b"
+
+
+def test_file_sizes_of_large_keys(spark, tmp_path):
+    rows = [(k, k % 7) for k in (1, 49, 50, 20_000, 30_549, 30_551, 120_003, 1_199_999, 1_200_004)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_partkey: r["size"] for r in documents_plans.queries()["file_sizes"](spark, str(tmp_path)).collect()}
+    for k, size in rows:
+        n = -k if k % 50 == 0 else k * k * (1, 37, 40_000, 12_345_678, 9_876_543_210)[size % 5]
+        power = next((p for p in range(4) if n < 1024 ** (p + 1)), 4)
+        x = n / 1024**power
+        want = "0 B" if n <= 0 else f"{f'{int(x)}' if power == 0 or x >= 100 else f'{x:.1f}' if x >= 10 else f'{x:.2f}'} {['B', 'KB', 'MB', 'GB', 'TB'][power]}"
+        assert got[k] == want

@@ -89,6 +89,8 @@ _SPACE = rf"(?:{WS}|\\[tnrf]|\\u000b|\\u001[c-f])*"
 NOTHING = rf'(?i)^(?:null|\{{\}}|\[\]|"{_SPACE}":?|"{_SPACE}(?:{"|".join(SAYS_NOTHING)}){_SPACE}")$'
 
 VARIANTS = "map<string,variant>"
+#: So many different descriptions at most come to the driver.
+MOST_LOCAL = 500
 
 
 def tells(value: Column) -> Column:
@@ -192,6 +194,25 @@ def described(records: DataFrame, contract: str = "contract", packages: Sequence
     return x.withColumns({"contract_missing": missing, "contract_values": values}).drop("_record", "_config", "_env", "_backend", "_ok")
 
 
+def text_key(contract: str) -> Column:
+    """What joins a record to the judgement of its text; null stands for itself."""
+    return F.coalesce(F.sha2(F.col(contract).cast("binary"), 256), F.lit(""))
+
+
+def described_texts(records: DataFrame, contract: str = "contract", packages: Sequence[str] = PACKAGES) -> DataFrame:
+    """_told (text_key), contract_missing and contract_values of each different JSON text among
+    records. The records of a run mostly share one, so that up to MOST_LOCAL texts come to the
+    driver and go to all tasks; more stay a table of their own. A malformed text is an error."""
+    texts = records.select(contract).distinct()
+    some = texts.limit(MOST_LOCAL + 1).collect()
+    few = len(some) <= MOST_LOCAL
+    if few:
+        texts = records.sparkSession.createDataFrame(some, texts.schema).coalesce(1)
+    x = texts.select(text_key(contract).alias("_told"), F.parse_json(contract).alias(contract))
+    x = described(x, contract, packages).select("_told", "contract_missing", "contract_values")
+    return F.broadcast(x) if few else x
+
+
 def differing(a: Column, b: Column) -> Column:
     """Names of fields that both describe completely and differently."""
     return F.filter(names(FIELDS), lambda c: F.coalesce(a[c] != b[c], F.lit(False)))

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from palimpsest.operators import contract as C
 from palimpsest.operators.benchmarks import worsening
@@ -136,20 +137,32 @@ def regressions() -> Column:
 def compared(base: DataFrame, new: DataFrame, settings: Sequence[str] = (), contract: str | None = None) -> DataFrame:
     """One row for each identity of either run: side (both, baseline, candidate), missing
     measures of each, settings that differ, and regressions. Identities are unique, as
-    refused() tells. contract: a VARIANT column with the description of how a record was
-    made; its incomplete fields are then in config_missing_base and config_missing_new, and
+    refused() tells. contract: a column with the description of how a record was made, a
+    VARIANT or a JSON text (equal texts are judged once); its incomplete fields are then in config_missing_base and config_missing_new, and
     what both tell differently counts as a setting that differs."""
-    if contract:
+    told = None
+    if contract and base.schema[contract].dataType == StringType():
+        told = C.described_texts(base.select(contract).unionByName(new.select(contract)), contract)
+        base, new = (x.withColumn("_told", C.text_key(contract)).drop(contract) for x in (base, new))
+    elif contract:
         base, new = (C.described(x, contract).drop(contract) for x in (base, new))
     a, b = (identified(x).select(*IDENTITY, F.struct(*(c for c in x.columns if c not in IDENTITY)).alias(n)) for x, n in ((base, "base"), (new, "new")))
     x = a.join(b, list(IDENTITY), "full")
+    described = {n: F.col(n) for n in ("base", "new")}
+    if told is not None:
+        for n in described:
+            x = x.join(told.select(F.col("_told").alias(f"_{n}_told"), F.struct("contract_missing", "contract_values").alias(f"_{n}")), F.col(f"{n}._told") == F.col(f"_{n}_told"), "left")
+            described[n] = F.col(f"_{n}")
     both = F.col("base").isNotNull() & F.col("new").isNotNull()
     none = F.array().cast("array<string>")
     differ = F.array_compact(F.array(*(F.when(~F.col(f"base.{c}").eqNullSafe(F.col(f"new.{c}")), F.lit(c)) for c in settings))) if settings else none
     more = ()
     if contract:
-        differ = F.concat(differ, C.differing(F.col("base.contract_values"), F.col("new.contract_values")))
-        more = tuple((f"config_missing_{n}", F.col(f"{n}.contract_missing")) for n in ("base", "new"))
+        apart = C.differing(described["base"]["contract_values"], described["new"]["contract_values"])
+        if told is not None:
+            apart = F.when(F.col("base._told") == F.col("new._told"), none).otherwise(apart)
+        differ = F.concat(differ, apart)
+        more = tuple((f"config_missing_{n}", v["contract_missing"]) for n, v in described.items())
     side = F.when(F.col("base").isNull(), "candidate").when(F.col("new").isNull(), "baseline").otherwise("both")
     only = lambda c: F.when(both, c).otherwise(none)
     return x.select(*IDENTITY, side.alias("side"), only(missing_measures("base")).alias("missing_base"), only(missing_measures("new")).alias("missing_new"), only(differ).alias("settings_differ"), only(regressions()).alias("regressions"), *(only(c).alias(n) for n, c in more))

@@ -2,7 +2,8 @@
 
 import hashlib
 
-from palimpsest.operators import blocks
+from palimpsest.operators import blocks, contract, records
+from palimpsest.plans import comparisons
 from palimpsest.plans import documents as documents_plans
 from palimpsest.plans import queries as plans
 from pyspark.sql import functions as F
@@ -28,3 +29,22 @@ def test_file_sizes_of_large_keys(spark, tmp_path):
         x = n / 1024**power
         want = "0 B" if n <= 0 else f"{f'{int(x)}' if power == 0 or x >= 100 else f'{x:.1f}' if x >= 10 else f'{x:.2f}'} {['B', 'KB', 'MB', 'GB', 'TB'][power]}"
         assert got[k] == want
+
+
+def test_equal_descriptions_are_judged_once(spark, monkeypatch):
+    other = comparisons.TEMPLATE.replace('"dpi":300', '"dpi":"300"'), comparisons.TEMPLATE.replace('"python":"3.13"', '"python":"3.12"')
+    texts = [comparisons.TEMPLATE, *other, "{}", "[1]", None]
+    rows = [(str(k), texts[k % 6], texts[k // 6 % 6]) for k in range(40)]
+    x = spark.createDataFrame(rows, "id string, a string, b string").select(
+        F.lit("p").alias("benchmark_profile"), F.lit("d").alias("dataset"), "id", F.lit(0).alias("page_index"), "a", "b",
+        *(F.lit(0.5).alias(c) for c in records.NUMBERS), F.lit(True).alias("text_layer_ok"), F.lit(1).alias("ocr_box_count"), F.lit(0).alias("pages_with_zero_boxes"),
+    )
+    runs = [x.filter("id <> 7").withColumn("contract", F.col("a")).drop("a", "b"), x.filter("id <> 9").withColumn("contract", F.col("b")).drop("a", "b")]
+    told = lambda pair: {r.id: r.asDict() for r in records.compared(*pair, contract="contract").collect()}
+    want = told([r.withColumn("contract", F.parse_json("contract")) for r in runs])
+    assert told(runs) == want
+    found = []
+    described = contract.described
+    monkeypatch.setattr(contract, "described", lambda r, *a: found.append(r.count()) or described(r, *a))
+    monkeypatch.setattr(contract, "MOST_LOCAL", 2)
+    assert told(runs) == want and found == [6]

@@ -48,3 +48,9 @@ def test_equal_descriptions_are_judged_once(spark, monkeypatch):
     monkeypatch.setattr(contract, "described", lambda r, *a: found.append(r.count()) or described(r, *a))
     monkeypatch.setattr(contract, "MOST_LOCAL", 2)
     assert told(runs) == want and found == [6]
+
+
+def test_words_of_pages_are_not_dealt_again(spark, sf):
+    for name in ("page_elements", "page_tables"):
+        plan = documents_plans.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Join" not in plan, name

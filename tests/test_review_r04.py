@@ -1,8 +1,9 @@
 """What the fourth review found: queries against plain restatements."""
 
 import hashlib
+import random
 
-from palimpsest.operators import blocks, contract, records
+from palimpsest.operators import blocks, contract, records, regions
 from palimpsest.plans import comparisons
 from palimpsest.plans import documents as documents_plans
 from palimpsest.plans import queries as plans
@@ -54,3 +55,21 @@ def test_words_of_pages_are_not_dealt_again(spark, sf):
     for name in ("page_elements", "page_tables"):
         plan = documents_plans.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange ") == 1 and "Join" not in plan, name
+
+
+def test_regions_of_pages_are_not_dealt_again(spark, sf):
+    for name in ("region_grids", "baseline_lines"):
+        plan = documents_plans.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Join" not in plan, name
+
+
+def test_grids_of_pages_are_those_of_lines(spark):
+    rng = random.Random(9)
+    said = "a bb ccc dddd".split()
+    rows = [(1, p, k, 20.0 + rng.choice([0, 5, 110, 225, 340]), y := 5.0 + 12 * rng.randint(0, 9), 0.0, y + rng.choice([10, 12]), rng.choice(said)) for p in range(40) for k in range(25)]
+    x = spark.createDataFrame(rows, "doc long, page int, region long, x0 double, y0 double, x1 double, y1 double, text string").withColumn("x1", F.col("x0") + 6 * F.length("text"))
+    g = regions.grids(regions.with_tables(regions.visual_lines(x).withColumn("page_width", F.lit(600.0))))
+    g = g.select("doc", "page", "table", "first", F.posexplode("rows").alias("row", "cells"))
+    want = g.select("doc", "page", "table", "first", "row", F.posexplode("cells").alias("column", "text"))
+    got = regions.page_grids(x.withColumn("page_width", F.lit(600.0)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 500
